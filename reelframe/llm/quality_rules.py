@@ -41,11 +41,11 @@ def features(docs: DataFrame, text_col: str, id_col: str, stratum_col: str) -> D
     """id, stratum, counts and ratios of every document; one row each."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"), text.alias("text"), words_array(text).alias("w"))
-    gram = lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))
     n = F.size("w")
-    # (hash, place) of each three-word window; 64 bits keep chance repeats within one text out
-    grams = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(gram(i).alias("g"), i.alias("i")))))
+    # a hash of each three-word window; 64 bits keep chance repeats within one text out
+    gram = lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
+    counts = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "lines"]
     d = d.select(
         "doc_id",
         "stratum",
@@ -53,13 +53,21 @@ def features(docs: DataFrame, text_col: str, id_col: str, stratum_col: str) -> D
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size(F.split("text", SYMBOLS)) - 1).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        grams.alias("grams"),
+        F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), gram)).alias("grams"),
     )
-    # A window is repeated if a neighbour in hash order equals it: mark both sides, keep the places.
-    after = F.slice("grams", 2, F.greatest(F.size("grams") - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with("grams", after, lambda a, b: F.struct(a["g"].eqNullSafe(b["g"]).alias("same"), a["i"].alias("x"), b["i"].alias("y"))), lambda p: p["same"])
-    places = F.array_sort(F.array_union(F.transform(pairs, lambda p: p["x"]), F.transform(pairs, lambda p: p["y"])))
-    d = d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "lines", places.alias("places"))
+    # Each step is a projection of its own, so that none is computed anew for every element of the next.
+    d = d.select(*counts, "grams", F.when(F.size("grams") > F.size(F.array_distinct("grams")), F.sort_array("grams")).alias("ordered"))
+    after = F.slice("ordered", 2, F.greatest(F.size("ordered") - 1, F.lit(0)))
+    twice = F.array_distinct(F.filter(F.zip_with("ordered", after, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+    d = d.select(*counts, "grams", twice.alias("twice"))
+    # Places of repeated windows: few repeated values are looked up, many are met by sorting (hash, place).
+    looked = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains("twice", F.element_at("grams", i)))
+    by_hash = F.when(F.size("twice") > 32, F.sort_array(F.zip_with("grams", F.sequence(F.lit(1), F.size("grams")), lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    d = d.select(*counts, F.when(F.size("twice") <= 32, looked).alias("looked"), by_hash.alias("by_hash"))
+    after = F.slice("by_hash", 2, F.greatest(F.size("by_hash") - 1, F.lit(0)))
+    met = F.flatten(F.zip_with("by_hash", after, lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
+    places = F.when(F.col("looked").isNotNull(), F.col("looked")).otherwise(F.sort_array(F.array_distinct(met)))
+    d = d.select(*counts, places.alias("places"))
     covered = F.aggregate(
         "places",
         F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")),
@@ -107,14 +115,12 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     """One row a stratum with labelled documents: the certified cutoff of each rule, or null."""
     said = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     held = found.where("not base_failed").join(said, "doc_id").select("stratum", (F.col("quality") >= 1).alias("good"), *rules)
+    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (F.col(r) > c).alias("over")) for r, cuts in rules.items() for c in cuts]))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    over = [count(good & (F.col(r) > c)).alias(f"{r}_{i}_{side}") for r, cuts in rules.items() for i, c in enumerate(cuts) for side, good in (("good", F.col("good")), ("bad", ~F.col("good")))]
-    sums = shared(held.groupBy("stratum").agg(count(F.col("good")).alias("n_good"), count(~F.col("good")).alias("n_bad"), *over), "rule-sums")
-    tests = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}_good").alias("k"), F.col(f"{r}_{i}_bad").alias("hit")) for r, cuts in rules.items() for i, c in enumerate(cuts)])
-    )
-    rows = sums.select("stratum", "n_good", "n_bad", tests.alias("t")).select("stratum", "n_good", "n_bad", "t.*")
-    m = max(1, sums.count()) * sum(map(len, rules.values()))
+    good, over = F.col("good"), F.col("t.over")
+    rows = held.select("stratum", "good", tests.alias("t")).groupBy("stratum", "t.rule", "t.cutoff")
+    rows = shared(rows.agg(count(good).alias("n_good"), count(~good).alias("n_bad"), count(good & over).alias("k"), count(~good & over).alias("hit")), "rule-tests")
+    m = max(1, rows.count())  # strata x rules x cutoffs
     gain = F.col("hit") / F.greatest("n_bad", F.lit(1)) - F.col("k") / F.greatest("n_good", F.lit(1))
     passed = rows.withColumn("p", binomial_tail(F.col("n_good"), F.col("k"), risk / len(rules))).where(F.col("p") <= level / m).withColumn("gain", gain).where("gain > 0")
     best = passed.groupBy("stratum", "rule").agg(F.max(F.struct("gain", (-F.col("k")).alias("few"), "cutoff")).alias("b"))
