@@ -1,2 +1,7 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""All queries of the engine with their SQL oracles."""
+
+from . import frame_queries, state_queries
+
+_PARTS = (frame_queries, state_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
