@@ -7,13 +7,17 @@ order-dependent fold (split suppression) runs over the few split candidates of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import SCREEN, ModeSettings
 
-JOB = Window.partitionBy("job")
-ORDER = JOB.orderBy("idx")
+def job_window() -> WindowSpec:
+    return Window.partitionBy("job")
+
+
+def order_window() -> WindowSpec:
+    return job_window().orderBy("idx")
 
 
 def frame_deltas(frames: DataFrame, change: Column, diff: Column, distance: Column) -> DataFrame:
@@ -31,20 +35,20 @@ def threshold_columns(config: ModeSettings) -> dict[str, Column]:
     """Adaptive thresholds and spacing of a job as partition-wide windows."""
     score, diff = F.col("transition_score"), F.col("mean_diff")
     gap = F.greatest(F.col("t") - F.col("previous_t"), F.lit(0.001))
-    spacing = F.coalesce(F.median(F.when(F.col("previous_t").isNotNull(), gap)).over(JOB), F.lit(0.25))
+    spacing = F.coalesce(F.median(F.when(F.col("previous_t").isNotNull(), gap)).over(job_window()), F.lit(0.25))
     few = F.greatest(F.lit(1).cast("long"), F.bround(config.min_seconds / F.greatest(spacing, F.lit(0.001))).cast("long"))
-    quartile = F.percentile("hash_distance", F.lit(0.75)).over(JOB).cast("long")
+    quartile = F.percentile("hash_distance", F.lit(0.75)).over(job_window()).cast("long")
     return {
-        "score_limit": F.greatest(F.lit(config.max_change_ratio), F.avg(score).over(JOB) + 0.9 * F.stddev_pop(score).over(JOB)),
+        "score_limit": F.greatest(F.lit(config.max_change_ratio), F.avg(score).over(job_window()) + 0.9 * F.stddev_pop(score).over(job_window())),
         "hash_limit": F.greatest(F.lit(config.hash_distance_threshold).cast("long"), quartile),
-        "diff_limit": F.greatest(F.lit(config.mean_diff_threshold), F.avg(diff).over(JOB) + 0.75 * F.stddev_pop(diff).over(JOB)),
+        "diff_limit": F.greatest(F.lit(config.mean_diff_threshold), F.avg(diff).over(job_window()) + 0.75 * F.stddev_pop(diff).over(job_window())),
         "spacing": spacing,
-        "min_frames": F.when(F.count("*").over(JOB) == 1, F.lit(1).cast("long")).otherwise(few),
+        "min_frames": F.when(F.count("*").over(job_window()) == 1, F.lit(1).cast("long")).otherwise(few),
     }
 
 
 def with_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> DataFrame:
-    return deltas.withColumn("previous_t", F.lag("t").over(ORDER)).withColumns(threshold_columns(config)).drop("previous_t")
+    return deltas.withColumn("previous_t", F.lag("t").over(order_window())).withColumns(threshold_columns(config)).drop("previous_t")
 
 
 def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> DataFrame:
@@ -53,7 +57,7 @@ def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> Dat
     Grouped rather than windowed: the frames themselves are not needed.
     """
     gap = F.greatest(F.col("t") - F.col("previous_t"), F.lit(0.001))
-    g = deltas.withColumn("previous_t", F.lag("t").over(ORDER)).groupBy("job")
+    g = deltas.withColumn("previous_t", F.lag("t").over(order_window())).groupBy("job")
     spacing = F.coalesce(F.median(F.when(F.col("previous_t").isNotNull(), gap)), F.lit(0.25))
     out = g.agg(
         F.count("*").alias("n"),
@@ -76,7 +80,7 @@ def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> Dat
 def with_transitions(limited: DataFrame) -> DataFrame:
     """Adds is_transition: a local peak of the score (plateaus count) over any adaptive limit."""
     s = F.col("transition_score")
-    peak = (s >= F.coalesce(F.lag("transition_score").over(ORDER), F.lit(-1.0))) & (s >= F.coalesce(F.lead("transition_score").over(ORDER), F.lit(-1.0)))
+    peak = (s >= F.coalesce(F.lag("transition_score").over(order_window()), F.lit(-1.0))) & (s >= F.coalesce(F.lead("transition_score").over(order_window()), F.lit(-1.0)))
     over = (s >= F.col("score_limit")) | (F.col("hash_distance") >= F.col("hash_limit")) | (F.col("mean_diff") >= F.col("diff_limit"))
     return limited.withColumn("is_transition", F.coalesce(peak & over, F.lit(False)))
 
@@ -101,10 +105,10 @@ def suppress(candidates: Column, min_gap: Column) -> Column:
 def with_splits(marked: DataFrame) -> DataFrame:
     """Adds is_split; the fold runs over the job's transitions alone, gathered in a window."""
     pick = F.when(F.col("is_transition"), F.struct(F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score")))
-    gathered = marked.withColumn("candidates", F.array_sort(F.collect_list(pick).over(JOB)))
+    gathered = marked.withColumn("candidates", F.array_sort(F.collect_list(pick).over(job_window())))
     # one fold a job: on its first row, then spread
-    kept = F.when(F.row_number().over(ORDER) == 1, suppress(F.col("candidates"), F.greatest(F.lit(1).cast("long"), F.col("min_frames"))))
-    out = gathered.withColumn("kept", kept).withColumn("kept", F.first("kept", True).over(JOB))
+    kept = F.when(F.row_number().over(order_window()) == 1, suppress(F.col("candidates"), F.greatest(F.lit(1).cast("long"), F.col("min_frames"))))
+    out = gathered.withColumn("kept", kept).withColumn("kept", F.first("kept", True).over(job_window()))
     return out.withColumn("is_split", F.array_contains("kept", F.col("idx").cast("long"))).drop("candidates", "kept")
 
 
@@ -122,7 +126,7 @@ def segment_frames(split: DataFrame, config: ModeSettings = SCREEN) -> DataFrame
     Candidates leave out the first and last of more than two frames, then the rejected ones if any
     other is left. A job none of whose segments is long enough is one segment as a whole.
     """
-    raw = split.withColumn("part", F.sum(F.col("is_split").cast("long")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    raw = split.withColumn("part", F.sum(F.col("is_split").cast("long")).over(order_window().rowsBetween(Window.unboundedPreceding, 0)))
     w = Window.partitionBy("job", "part")
     sized = raw.withColumns({
         "n": F.count("*").over(w), "start": F.min("t").over(w), "end": F.max("t").over(w),
@@ -130,20 +134,20 @@ def segment_frames(split: DataFrame, config: ModeSettings = SCREEN) -> DataFrame
     })
     kept = ~((F.col("end") - F.col("start") < config.min_seconds) & (F.col("n") < F.col("min_frames"))) & F.col("usable")
     sized = sized.withColumn("kept", kept)
-    some = F.max(F.col("kept").cast("int")).over(JOB) == 1
+    some = F.max(F.col("kept").cast("int")).over(job_window()) == 1
     whole = sized.withColumn("some", some)
     again = Window.partitionBy("job")
     whole = whole.withColumns({
         "part": F.when(F.col("some"), F.col("part")).otherwise(0), "n": F.when(F.col("some"), F.col("n")).otherwise(F.count("*").over(again)),
         "start": F.when(F.col("some"), F.col("start")).otherwise(F.min("t").over(again)), "end": F.when(F.col("some"), F.col("end")).otherwise(F.max("t").over(again)),
-        "place": F.when(F.col("some"), F.col("place")).otherwise(F.row_number().over(ORDER)),
+        "place": F.when(F.col("some"), F.col("place")).otherwise(F.row_number().over(order_window())),
         "kept": F.when(F.col("some"), F.col("kept")).otherwise(F.max((~F.col("rejected")).cast("int")).over(again) == 1),
     }).where("kept").drop("kept", "some", "usable")
     inner = (F.col("n") <= 2) | ((F.col("place") > 1) & (F.col("place") < F.col("n")))
     accepted = F.max((inner & ~F.col("rejected")).cast("int")).over(w) == 1
     out = whole.withColumns({"inner": inner, "accepted": accepted, "mean_change_ratio": F.avg("change_ratio").over(w)})
     out = out.withColumn("is_candidate", F.col("inner") & (~F.col("rejected") | ~F.col("accepted")))
-    return out.withColumn("seg_no", F.dense_rank().over(JOB.orderBy("part")).cast("long")).drop("inner", "accepted", "place", "part")
+    return out.withColumn("seg_no", F.dense_rank().over(job_window().orderBy("part")).cast("long")).drop("inner", "accepted", "place", "part")
 
 
 def stable_segments(members: DataFrame) -> DataFrame:

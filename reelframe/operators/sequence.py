@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 
-ORDER = Window.partitionBy("job").orderBy("start", "ord")
+
+def order_window() -> WindowSpec:
+    return Window.partitionBy("job").orderBy("start", "ord")
 
 
 def sequence_clusters(pages: DataFrame, similarity: Column, window: float = DEFAULT.cluster_window_seconds, least: float = DEFAULT.min_cluster_similarity) -> DataFrame:
@@ -16,11 +18,11 @@ def sequence_clusters(pages: DataFrame, similarity: Column, window: float = DEFA
     ``similarity`` compares a page with its predecessor in (start, ord) order. Chaining is on the
     immediate predecessor, so clusters are gaps and islands.
     """
-    joins = (F.col("start") - F.lag("end").over(ORDER) <= window) & (similarity >= least)
+    joins = (F.col("start") - F.lag("end").over(order_window()) <= window) & (similarity >= least)
     opens = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
     # the similarity may hold windows of its own, so the flag is a column before it is summed
     flagged = pages.withColumn("_opens", opens)
-    return flagged.withColumn("cluster", F.sum("_opens").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_opens")
+    return flagged.withColumn("cluster", F.sum("_opens").over(order_window().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_opens")
 
 
 def cluster_representatives(clustered: DataFrame, rank: Column, bad: Column, penalty: float = DEFAULT.bad_neighbour_penalty) -> DataFrame:

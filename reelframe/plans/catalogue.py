@@ -1,7 +1,7 @@
 """All queries of the engine with their SQL oracles."""
 
-from . import frame_queries, state_queries
+from . import frame_queries, page_queries, state_queries
 
-_PARTS = (frame_queries, state_queries)
+_PARTS = (frame_queries, page_queries, state_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

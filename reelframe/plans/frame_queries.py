@@ -18,7 +18,7 @@ def _r(x, n: int = 6):
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = lambda c: F.lag(c).over(segments.ORDER)
+    before = lambda c: F.lag(c).over(segments.order_window())
     return segments.frame_deltas(
         frames(spark, sf_dir),
         F.abs(F.col("value") - before("value")) / 500.0,
