@@ -4,8 +4,8 @@ Sizes are words. Targets share the corpus by weight; a target stops at MOST time
 and the excess is shared anew among the rest. A source's documents lie in blocks of about BLOCK_WORDS
 words, by a hash that is at once the source's permutation. A source is taken whole as often as its
 target allows; of one more pass it gives a prefix of its permuted blocks, the last of them cut at a
-document (and filled up with the small documents behind the cut), so the words taken come within one
-document of the target. Every block drawn counts for the source's exact quota. The quotas are split
+document; of the stretch around the cut the subset whose words add up best is taken, so the words
+taken come very near the target. Every block drawn counts for the source's exact quota. The quotas are split
 among the output shards by a binary tree: each node draws its left half's quotas from a multivariate
 hypergeometric law, so every shard holds an exact, random share; a shard's draws of a source are
 consecutive in its permutation, hence disjoint. Within a shard rows are ordered by hash.
@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 200_000
 MAX_BLOCKS = 65_536
+#: The last stretch of a source: the words and documents among which the best subset is sought.
+STRETCH_WORDS, STRETCH_DOCS = 100_000, 600
 SHARD_WORDS = 50_000_000
 MAX_SHARDS = 256
 SEED = 20
@@ -71,23 +73,38 @@ def _block(place: Column, blocks: Column) -> Column:
     return F.shiftright(F.shiftright(place, 31) * blocks, 32)
 
 
+def choose(sizes: list[int], room: int) -> list[bool]:
+    """Which of the sizes add up nearest to ``room``, by exact subset sums; the earliest where there is a choice."""
+    mask = (1 << (2 * room + 2)) - 1
+    reach = [1]  # bit s: sum s can be made of the sizes behind
+    for s in reversed(sizes):
+        reach.append((reach[-1] | reach[-1] << s) & mask)
+    low = (reach[-1] & ((1 << (room + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (room + 1)
+    high = room + (above & -above).bit_length() if above else None
+    want = high if high is not None and high - room < room - low else low
+    out = []
+    for i, s in enumerate(sizes):
+        take = s <= want and bool(reach[len(sizes) - 1 - i] >> (want - s) & 1)
+        out.append(take)
+        want -= s * take
+    return out
+
+
 def _fill(docs: pd.DataFrame) -> pd.DataFrame:
-    """Cut of one source's last block: units in order while they fit, then those behind that still fit."""
+    """Cut of one source's last block: units in order up to a stretch, of which the best subset is taken."""
     docs = docs.groupby("place", as_index=False).agg({"size": "sum", "room": "first", "source_no": "first"}).sort_values("place")
-    room, cut, more, skipped = float(docs["room"].iloc[0]), None, [], None
-    for place, size in zip(docs["place"], docs["size"]):
-        if size <= room:
-            room -= size
-            if cut is not None:
-                more.append(place)
-        else:
-            cut = place if cut is None else cut
-            if skipped is None or size < skipped[1]:
-                skipped = (place, size)
-    if skipped and skipped[1] - room < room:  # nearer above than below
-        more.append(skipped[0])
-    last = int(docs["place"].iloc[-1]) + 1 if cut is None else int(cut)
-    return pd.DataFrame({"source_no": [int(docs["source_no"].iloc[0])], "cut": [last], "more": [more]})
+    places, sizes = docs["place"].tolist(), docs["size"].astype(int).tolist()
+    room, at = round(float(docs["room"].iloc[0])), 0
+    while room - sizes[at] > STRETCH_WORDS:
+        room -= sizes[at]
+        at += 1
+    end = min(len(sizes), at + STRETCH_DOCS)
+    taken = choose(sizes[at:end], room)
+    first = next((i for i, t in enumerate(taken) if not t), len(taken))
+    cut = places[at + first] if at + first < len(places) else places[-1] + 1
+    more = [p for p, t in zip(places[at + first : end], taken[first:]) if t]
+    return pd.DataFrame({"source_no": [int(docs["source_no"].iloc[0])], "cut": [int(cut)], "more": [more]})
 
 
 class Mix:
