@@ -63,7 +63,7 @@ def grid_similarity(spark, sf_dir):
         "profile": 1 - (grid.mean_diff(F.col("ra"), F.col("rb")) + grid.mean_diff(F.col("ca"), F.col("cb"))) / 2,
     })
     visual = scores.visual_similarity(F.col("hist"), F.col("diff"), F.col("layout"), F.col("profile"))
-    return g.select("job", "id", *[_r(F.col(c)).alias(c) for c in ("hist", "layout", "profile")], _r(visual).alias("visual"), _r(scores.cluster_similarity(F.col("hist"), F.col("diff"))).alias("cluster_similarity"))
+    return g.select("job", "id", *[_r(F.col(c), 8).alias(c) for c in ("hist", "layout", "profile")], _r(visual, 8).alias("visual"), _r(scores.cluster_similarity(F.col("hist"), F.col("diff")), 8).alias("cluster_similarity"))
 
 
 _HIST = lambda x: f"list_transform(range(0, 32), lambda b: len(list_filter({x}, lambda v: floor(floor(v * 255) * 32 / 256) = b))::DOUBLE)"
@@ -241,9 +241,9 @@ SELECT job, id, round(brightness, 6) AS brightness, round(contrast, 6) AS contra
   round(rs * 0.34::DOUBLE + ss * 0.24::DOUBLE + cs * 0.14::DOUBLE + bs * 0.08::DOUBLE + td * 7.5::DOUBLE + 0.95::DOUBLE * 0.2::DOUBLE - 0.05::DOUBLE * 0.45::DOUBLE - least(len(reasons) * 0.24::DOUBLE, 1.2::DOUBLE), 6) AS score, array_to_string(reasons, '|') AS reasons FROM e""",
     "dhash": f"WITH {HASH_SQL} SELECT job, id, h, printf('%016x', h) AS hex FROM h",
     "hamming_pairs": f"WITH {HASH_SQL} SELECT a.job, a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM h a JOIN h b ON a.job = b.job AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 15",
-    "grid_similarity": f"""WITH {SIMILAR_SQL} SELECT job, id, round(hist, 6) AS hist, round(layout, 6) AS layout, round(profile, 6) AS profile,
-  round(greatest(0, least(1, 0.4::DOUBLE * hist + 0.35::DOUBLE * (1 - least(diff / 0.15::DOUBLE, 1)) + 0.15::DOUBLE * layout + 0.1::DOUBLE * profile)), 6) AS visual,
-  round(greatest(0, least(1, 0.7::DOUBLE * hist + 0.3::DOUBLE * (1 - least(diff / 0.14::DOUBLE, 1)))), 6) AS cluster_similarity FROM s4""",
+    "grid_similarity": f"""WITH {SIMILAR_SQL} SELECT job, id, round(hist, 8) AS hist, round(layout, 8) AS layout, round(profile, 8) AS profile,
+  round(greatest(0, least(1, 0.4::DOUBLE * hist + 0.35::DOUBLE * (1 - least(diff / 0.15::DOUBLE, 1)) + 0.15::DOUBLE * layout + 0.1::DOUBLE * profile)), 8) AS visual,
+  round(greatest(0, least(1, 0.7::DOUBLE * hist + 0.3::DOUBLE * (1 - least(diff / 0.14::DOUBLE, 1)))), 8) AS cluster_similarity FROM s4""",
     "rejection_reasons": f"WITH {SCORED_SQL} SELECT id, array_to_string(reasons, '|') AS reasons, len(reasons) AS n_reasons, round(score, 6) AS score FROM q",
     "soft_filter": f"WITH {PAGES_SQL} SELECT job, id, rejected FROM p QUALIFY NOT rejected OR NOT bool_or(NOT rejected) OVER (PARTITION BY job, floor(id / 100))",
     "weak_pages": f"WITH {PAGES_SQL} SELECT id, {', '.join(f'{_weak_sql(k)} AS weak_{k}' for k in ('duplicate', 'sequence', 'fixture'))} FROM p",
