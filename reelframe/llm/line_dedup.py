@@ -29,7 +29,7 @@ from .components import connected
 
 DISTANCE = 1
 MIN_CHARS = 40
-HOT_PAIRS = 4096
+HOT_PAIRS = 16_384
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -151,18 +151,22 @@ def _verifier(distance: int):
 
 
 @F.arrow_udf(T.ArrayType(T.StructType().add("v", "long").add("p", "long")))
-def _deletions(line: pa.Array) -> pa.Array:
-    """(hash, -1) of the line, and of each one-character deletion its hash with the place."""
+def _deletions(line: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+    """(hash, -1) of the line, and of each one-character deletion in the halves asked for its hash and place."""
     out = []
-    for x in line:
-        x, h = x.as_py(), xxhash.xxh64_intdigest
-        out.append([{"v": _signed(h(x)), "p": -1}] + [{"v": _signed(h(x[:p] + x[p + 1 :])), "p": p} for p in range(len(x))])
+    for x, in_left, in_right in zip(line.to_pylist(), left.to_pylist(), right.to_pylist()):
+        h, mid = xxhash.xxh64_intdigest, (len(x) - 1) // 2
+        places = range(0 if in_left else mid, len(x) if in_right else mid + 1)
+        out.append([{"v": _signed(h(x)), "p": -1}] + [{"v": _signed(h(x[:p] + x[p + 1 :])), "p": p} for p in places])
     return pa.array(out, pa.list_(pa.struct([("v", pa.int64()), ("p", pa.int64())])))
 
 
 def _stars(lines: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``lines`` (lid, line) that connect exactly the lines at distance 1."""
-    near = shared(lines.select("lid", F.explode(_deletions("line")).alias("d")).select("lid", "d.*"), "line-deletions")
+    """Pairs (x, y) of ``lines`` (lid, line, left, right) that connect the lines at distance 1.
+
+    A line that shares its first half with a crowd can differ from it on the right only, and so on.
+    """
+    near = shared(lines.select("lid", F.explode(_deletions("line", "left", "right")).alias("d")).select("lid", "d.*"), "line-deletions")
     swap = near.where("p >= 0")
     first = swap.groupBy("v", "p").agg(F.min("lid").alias("x"), F.max("lid").alias("z")).where("x < z").drop("z")
     swapped = swap.join(first, ["v", "p"]).where("x < lid").select("x", F.col("lid").alias("y"))
@@ -182,11 +186,11 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     uniq = flat.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.min(rank).alias("first"))
     uniq = shared(uniq.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
 
-    own = uniq.select("lid", F.explode("first.own").alias("key"), F.lit(0).cast("tinyint").alias("kind"))
-    seek = uniq.select("lid", F.explode("first.seek").alias("key"), F.lit(1).cast("tinyint").alias("kind"))
+    own = uniq.select("lid", F.posexplode("first.own").alias("part", "key"), F.lit(0).cast("tinyint").alias("kind"))
+    seek = uniq.select("lid", F.posexplode("first.seek").alias("part", "key"), F.lit(1).cast("tinyint").alias("kind"))
     w = Window.partitionBy("key")
     sized = own.unionByName(seek).withColumns({"n": F.count("*").over(w), "indexed": F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w)})
-    met = shared(sized.where("n > 1 and indexed > 0").select("key", "lid", "kind", (F.col("n") * F.col("indexed")).alias("pairs")), "line-keys")
+    met = shared(sized.where("n > 1 and indexed > 0").select("key", "lid", "kind", "part", (F.col("n") * F.col("indexed")).alias("pairs")), "line-keys")
     hot = F.col("pairs") > HOT_PAIRS if distance == 1 else F.lit(False)
     few = met.where(~hot)
     index = few.where("kind = 0").select("key", F.col("lid").alias("x"))
@@ -194,8 +198,9 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     pairs = shared(pairs.select("x", "y").distinct(), "line-pairs")
 
     # Texts of the lines concerned, from the documents, found by hash and told apart by both.
-    crowd = shared(met.where(hot).select("lid").distinct(), "line-crowd")
-    wanted = pairs.select(F.col("x").alias("lid")).unionByName(pairs.select(F.col("y").alias("lid"))).unionByName(crowd).distinct()
+    crowd = met.where(hot).groupBy("lid").agg(F.max(F.col("part") == 1).alias("left"), F.max(F.col("part") == 0).alias("right"))  # at distance 1, key i is of segment i
+    crowd = shared(crowd, "line-crowd")
+    wanted = pairs.select(F.col("x").alias("lid")).unionByName(pairs.select(F.col("y").alias("lid"))).unionByName(crowd.select("lid")).distinct()
     wanted = shared(wanted.join(uniq.select("lid", "a", F.col("first.at").alias("first_at"), F.col("first.no").alias("first_no")), "lid"), "line-wanted")
     line = F.explode(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n"))
     texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where(F.length("line") >= least).select("line", F.xxhash64("line").alias("a"))
