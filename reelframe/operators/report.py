@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import NEUTRAL
+
 
 def evaluate_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Cases (name, min_pages, max_pages, max_weak) against results (name, pages, weak).
@@ -33,6 +35,28 @@ def workspace_stats(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     return j.withColumn("k", F.lit(1)).join(F.broadcast(p.withColumn("k", F.lit(1))), "k").drop("k")
 
 
+def transition_stats(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """Per job: largest deltas, transitions found, segments kept (what a segmentation run logs)."""
+    m = marked.groupBy("job").agg(F.max("change_ratio").alias("max_change"), F.max("mean_diff").alias("max_diff"), F.max("hash_distance").alias("max_hash"), F.count_if("is_transition").alias("transitions"))
+    n = members.groupBy("job").agg(F.countDistinct("seg_no").alias("segments"))
+    return m.join(n, "job", "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
+
+
+def export_rows(pages: DataFrame) -> DataFrame:
+    """Active stored pages as export rows: neutral quality, an error where a page has no image.
+
+    Stored pages carry no measures, so those of a perfect page stand in.
+    """
+    path = F.coalesce("image_path", F.raise_error(F.concat(F.lit("page without image: "), F.col("id").cast("string"))).cast("string"))
+    neutral = {k: F.lit(v) for k, v in NEUTRAL.items()} | {"score": F.lit(1.0), "phash": F.lit("0"), "rejected": F.lit(False)}
+    return pages.where(~F.col("deleted")).select("job", "id", "order_index", "rotation", path.alias("image_path")).withColumns(neutral)
+
+
+def observed(df: DataFrame, name: str, **counts) -> DataFrame:
+    """``df`` with metrics gathered as it runs, read by a query listener; no extra pass."""
+    return df.observe(name, F.count("*").alias("rows"), *[c.alias(k) for k, c in counts.items()])
+
+
 def limited(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows in a stated order (debug images)."""
     return df.orderBy(*order).limit(n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import mode_settings
 from ..functions import scores
-from ..operators import sampling, segments, selection
+from ..operators import report, sampling, segments, selection
 from .views import EVENT_CONFIG, FRAMES_SQL, frames
 
 C = EVENT_CONFIG
@@ -151,11 +151,17 @@ def transition_rows(spark, sf_dir):
     return deltas(spark, sf_dir).select("job", "idx", _r(F.coalesce(F.avg("transition_score").over(w), F.lit(0.0))).alias("mean5"), _r(F.coalesce(F.max("transition_score").over(w), F.lit(0.0))).alias("max5"))
 
 
+def transition_stats(spark, sf_dir):
+    s = report.transition_stats(marked(spark, sf_dir), members(spark, sf_dir))
+    zero = lambda c: _r(F.coalesce(F.col(c), F.lit(0.0))).alias(c)
+    return s.select("job", zero("max_change"), zero("max_diff"), F.coalesce("max_hash", F.lit(0)).cast("long").alias("max_hash"), "transitions", F.col("segments").cast("long").alias("segments"))
+
+
 _G = 0.25
 QUERIES = {
     "frame_deltas": frame_deltas, "adaptive_thresholds": adaptive_thresholds, "transition_points": transition_points, "nms_splits": nms_splits, "stable_segments": stable_segments,
     "best_frame": best_frame, "pipeline_counts": pipeline_counts, "sample_frames": sample_frames, "mode_settings": mode_table, "nearest_frame": nearest_frame, "job_metadata": job_metadata,
-    "format_time": format_time, "transition_rows": transition_rows,
+    "format_time": format_time, "transition_rows": transition_rows, "transition_stats": transition_stats,
 }
 
 ORACLE_SQL = {
@@ -177,5 +183,8 @@ SELECT w.job, round(wt, 3) AS wanted_t, idx FROM w JOIN f USING (job) QUALIFY ro
 SELECT job, frame_count, round(fps * 86400, 6) AS frames_a_day, round(frame_count / fps, 2) AS duration FROM m""",
     "format_time": f"""WITH {FRAMES_SQL}, x AS (SELECT job, idx, greatest(code / 64.0::DOUBLE - 20, 0) AS s FROM f)
 SELECT job, idx, CAST(floor(floor(s) / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(s) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.' || CAST(floor((s - floor(s)) * 10) AS BIGINT) AS shown FROM x""",
+    "transition_stats": f"""WITH RECURSIVE {MEMBERS_SQL}, x AS (SELECT job, count(DISTINCT seg_no) AS n FROM mem GROUP BY job)
+SELECT m.job, round(coalesce(max(change_ratio), 0), 6) AS max_change, round(coalesce(max(mean_diff), 0), 6) AS max_diff, coalesce(max(hash_distance), 0) AS max_hash, count(*) FILTER (hit) AS transitions, coalesce(any_value(x.n), 0) AS segments
+FROM m LEFT JOIN x ON x.job = m.job GROUP BY m.job""",
     "transition_rows": f"""WITH {DELTAS_SQL} SELECT job, idx, round(coalesce(avg(s) OVER w, 0), 6) AS mean5, round(coalesce(max(s) OVER w, 0), 6) AS max5 FROM d WINDOW w AS (PARTITION BY job ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
 }

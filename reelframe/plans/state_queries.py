@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import artifact_path, artifact_url, resolve_url
@@ -129,7 +129,19 @@ def paths(spark, sf_dir):
     return p.select("page_id", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce(artifact_url(F.col("path"), "/data/storage"), F.lit("-")).alias("back"))
 
 
+def jobs_recent(spark, sf_dir):
+    """Jobs, newest first, with their place in that order."""
+    w = Window.partitionBy("status").orderBy(F.desc("created_at"), "job")
+    return jobs(spark, sf_dir).select("job", "status", F.row_number().over(w).cast("long").alias("place"))
+
+
+def export_rows(spark, sf_dir):
+    p = job_pages(spark, sf_dir).withColumn("image_path", F.format_string("/data/%d/%d.png", "job", "id"))
+    return report.export_rows(p).select("job", "id", "rotation", "image_path", "page_coverage", "gutter_ratio", "phash", "rejected")
+
+
 QUERIES = {
+    "jobs_recent": jobs_recent, "export_rows": export_rows,
     "job_document": job_document, "active_pages": active_pages, "page_update": page_update, "bulk_update": bulk_update, "page_reorder": page_reorder, "upsert_jobs": upsert_jobs,
     "stage_state": stage_state, "recover_jobs": recover_jobs, "export_jobs": export_jobs, "workspace_stats": workspace_stats, "benchmark_eval": benchmark_eval,
     "benchmark_summary": benchmark_summary, "resolve_url": resolve, "artifact_paths": paths,
@@ -148,6 +160,8 @@ _NEXT = """list_transform(st, lambda s: CASE
   WHEN e.kind = 'start' AND s.status NOT IN ('complete', 'failed') THEN {'key': s.key, 'status': 'pending', 'progress': 0::BIGINT, 'started': s.started, 'completed': s.completed} ELSE s END)"""
 _TOUCH = "bool_or(hit) OVER (PARTITION BY p.job)"
 ORACLE_SQL = {
+    "jobs_recent": f"WITH {_JOBS} SELECT job, status, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, job) AS place FROM j",
+    "export_rows": f"WITH {_PAGES} SELECT job, id, rotation, '/data/' || job || '/' || id || '.png' AS image_path, 1.0::DOUBLE AS page_coverage, 0.0::DOUBLE AS gutter_ratio, '0' AS phash, false AS rejected FROM p WHERE NOT deleted",
     "job_document": f"""WITH {_JOBS}, {_PAGES}, n AS (SELECT job, count(*) AS n, string_agg(id || ':' || rotation || ':' || CASE WHEN deleted THEN 'deleted' ELSE 'active' END, ',' ORDER BY order_index) AS pages FROM p GROUP BY job)
 SELECT j.job, status, strftime(created_at, '%Y-%m-%d') AS created, coalesce(n.n, 0) AS n_pages, coalesce(n.pages, '') AS pages FROM j LEFT JOIN n USING (job)""",
     "active_pages": f"WITH {_PAGES} SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY order_index, id) AS page_number, rotation FROM p WHERE NOT deleted",
