@@ -5,8 +5,9 @@ of ``max_length`` before them). Each piece is a sequence of its own, so none cro
 none is padded; pieces of equal length form a bucket, and sequence ids run gaplessly through the
 buckets from the longest to the shortest, so a trainer reads equal lengths side by side.
 
-Tokens come from a word cache: the tokenizer never joins text across ASCII white space, so a text's
-ids are its words' ids in a row (a test holds this against the tokenizer on whole texts).
+Tokens come from a cache: the tokenizer never joins text across white space, and it splits words into
+runs of letters, digits and marks before it merges, so a text's ids are those of its pieces in a row
+(a test holds this against the tokenizer on whole texts).
 
 Defined results: null or empty text is one piece, the end token; rows with equal or null identifiers
 are packed one by one; extra columns are ignored by ``pack``; an empty table gives an empty result.
@@ -15,7 +16,10 @@ are packed one by one; extra columns are ignored by ``pack``; an empty table giv
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,16 +31,82 @@ from .common import shared
 
 MAX_LENGTH = 2048
 END = 1
-#: Words that a worker remembers the ids of; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words and pieces that a task remembers the ids of, each in two generations of this size.
+CACHE = 250_000
 
+#: Words of these characters split into pieces by the same rules here ('<' may begin a special token);
+#: all others go to the tokenizer whole.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
+
+@lru_cache(maxsize=2)
+def load(path: str):
+    """The tokenizer of a file, once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path)
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    The caches have two generations: what is met in the older one moves to the younger, and a full
+    younger one becomes the older, so frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])}
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _piece(self, p: str) -> bytes:
+        found = self.pieces.get(p)
+        if found is None:
+            found = self.old_pieces.get(p)
+            if found is None:
+                found = array("I", [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.bytes))]).tobytes()
+            self.pieces[p] = found
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.old_words.get(word)
+        if found is not None:
+            return found
+        s = word.decode()
+        core = s.rstrip(",.")
+        if core.isalpha() and (word.isascii() or _LETTERS.fullmatch(core)):  # most words: letters, then marks
+            ids = self._piece(core.lower())
+            return ids if len(core) == len(s) else ids + self._piece(s[len(core) :])
+        if _PLAIN.fullmatch(s):
+            return b"".join(map(self._piece, _PIECE.findall(s.lower())))
+        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        words = text.split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    w = words[i]
+                    x = self.words.get(w)  # met earlier in this text
+                    if x is None:
+                        x = self.words[w] = self._word(w)
+                    found[i] = x
+        if len(self.words) > CACHE:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > CACHE:
+            self.pieces, self.old_pieces = {}, self.pieces
+        return b"".join(found)
 
 
 def default_tokenizer() -> str:
@@ -51,35 +121,6 @@ def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * (n // max_length) + [1 << b for b in range(max_length.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit integers, with the end token."""
-    tokenizer, cache = _tokenizer(path)
-    split = [t.split() for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in set().union(*split) if w not in cache]
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        for w, e in zip(part, found):
-            cache[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-    end = END.to_bytes(4, "little")
-    return [b"".join(map(cache.__getitem__, words)) + end for words in split]
-
-
-def _groups(texts: list[bytes], most: int = 4_000_000):
-    """Runs of texts of bounded total size, so that no step holds many words at once."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _cutter(path: str, max_length: int, with_ids: bool):
     kind = T.StructType().add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
@@ -87,18 +128,18 @@ def _cutter(path: str, max_length: int, with_ids: bool):
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     @F.arrow_udf(T.ArrayType(kind))
-    def cut(text: pa.Array) -> pa.Array:
-        raw = [t.as_py() or b"" for t in text.cast(pa.large_binary())]
-        out = []
-        for part in _groups(raw):
-            for ids in _encode(part, path):
-                at, pieces = 0, []
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, end = Encoder(path).encode, END.to_bytes(4, "little")  # the caches go with the task
+        for text in batches:
+            out = []
+            for t in text.cast(pa.large_binary()):
+                ids, at, pieces = encode(t.as_py() or b"") + end, 0, []
                 for n in piece_lengths(len(ids) // 4, max_length):
                     own = ids[4 * at : 4 * (at + n)]
                     pieces.append({"start": at, "length": n, "ids_crc32": zlib.crc32(own)} | ({"ids": own} if with_ids else {}))
                     at += n
                 out.append(pieces)
-        return pa.array(out, pa.list_(pa.struct(fields)))
+            yield pa.array(out, pa.list_(pa.struct(fields)))
 
     return cut
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe.llm import components, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts
+from reelframe.llm import common, components, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts
 from reelframe.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -145,6 +145,21 @@ def test_packing_round_trip(docs, texts):
     assert lengths == sorted(lengths, reverse=True)  # buckets of equal lengths
 
 
+def test_word_cache_equals_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "CACHE", 50)  # generations turn over
+    rng = random.Random(11)
+    alphabet = "abcDEÉéßñÇø123.,'-!%&|<>#@İΣς漢e\u0301\u00a0\u2028ǅ１"
+    words = ["it's", "we'll", "I'D", "<|endoftext|>x", "a<|startoftext|>", "'ve'm", "ſ", "K", "ﬁ", "\u0301a", "x\u0000y", "×÷", "ÀÖ"]
+    for _ in range(300):
+        text = rng.choice([" ", "\n", "\t "]).join(rng.choice([rng.choice(words), "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8)))]) for _ in range(rng.randint(0, 12)))
+        want = tok.encode(text, add_special_tokens=False).ids
+        got = enc.encode(text.encode())
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, repr(text)
+
+
 def test_packing_ids_and_odd_rows(odd, no_docs):
     found = rows(packing.pack(odd))
     for r in found:
@@ -299,6 +314,15 @@ def test_simhash_odd_rows(odd, no_docs):
     assert simhash.query(no_docs).count() == 0
 
 
+def test_membership_filter(spark):
+    rng = random.Random(12)
+    have = [rng.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, 32767, 32768, (1 << 63) - 1]
+    other = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    big = spark.createDataFrame([(x,) for x in have + other], "k long")
+    got = {r.k for r in common.may_be_in(big, spark.createDataFrame([(x,) for x in have], "k long"), "k").collect()}
+    assert got >= set(have) and len(got) < len(have) + 20
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(90)] + [(5000, 2000 + i) for i in range(60)]
