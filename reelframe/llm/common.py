@@ -56,6 +56,24 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: in
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+#: Bits of a membership filter: 2,048 bitmaps of 4 KB, 8 MB at any corpus size.
+FILTER_BITS = 26
+
+
+def may_be_in(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose 64-bit ``key`` may be among ``keys``: none of those is lost.
+
+    A bitmap of fixed size is broadcast, so its bound holds whatever ``keys`` holds; the more keys,
+    the more other rows pass too, and the join that follows drops them.
+    """
+    place = F.pmod(F.col(key), F.lit(1 << FILTER_BITS))
+    maps = keys.select(place.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit(32767))).alias("_map"))
+    found = big.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).withColumn("_bit", F.col("_p").bitwiseAND(F.lit(32767)))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return found.join(F.broadcast(maps), "_bucket").where(hit).select(*big.columns)
+
+
 def words_array(text: Column) -> Column:
     """Words of ``text`` in order; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

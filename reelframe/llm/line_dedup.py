@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, join_small, nest, shared
+from .common import may_be_in, nest, shared
 from .components import connected
 
 DISTANCE = 1
@@ -204,7 +204,7 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     wanted = shared(wanted.join(uniq.select("lid", "a", F.col("first.at").alias("first_at"), F.col("first.no").alias("first_no")), "lid"), "line-wanted")
     line = F.explode(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n"))
     texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where(F.length("line") >= least).select("line", F.xxhash64("line").alias("a"))
-    texts = join_small(texts, wanted.select("lid", "a"), "a", "inner").groupBy("lid").agg(F.min("line").alias("line"))
+    texts = may_be_in(texts, wanted, "a").join(wanted.select("lid", "a"), "a").groupBy("lid").agg(F.min("line").alias("line"))
     texts = shared(texts, "line-texts")
 
     pairs = pairs.unionByName(_stars(texts.join(crowd, "lid"))) if distance == 1 and not crowd.isEmpty() else pairs
