@@ -122,10 +122,10 @@ def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
 
 
 def _cutter(path: str, max_length: int, with_ids: bool):
-    kind = T.StructType().add("start", "long").add("length", "long").add("ids_crc32", "long")
+    kind = T.StructType().add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long")
     if with_ids:
         kind = kind.add("ids", "binary")
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
+    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     @F.arrow_udf(T.ArrayType(kind))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -134,9 +134,10 @@ def _cutter(path: str, max_length: int, with_ids: bool):
             out = []
             for t in text.cast(pa.large_binary()):
                 ids, at, pieces = encode(t.as_py() or b"") + end, 0, []
-                for n in piece_lengths(len(ids) // 4, max_length):
+                total = len(ids) // 4
+                for n in piece_lengths(total, max_length):
                     own = ids[4 * at : 4 * (at + n)]
-                    pieces.append({"start": at, "length": n, "ids_crc32": zlib.crc32(own)} | ({"ids": own} if with_ids else {}))
+                    pieces.append({"start": at, "length": n, "ids_crc32": zlib.crc32(own), "doc_tokens": total} | ({"ids": own} if with_ids else {}))
                     at += n
                 out.append(pieces)
             yield pa.array(out, pa.list_(pa.struct(fields)))
@@ -153,8 +154,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokeni
         raise ValueError("max_length must be a power of two")
     cut = _cutter(tokenizer or default_tokenizer(), max_length, with_ids)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), cut(F.col(f"`{text_col}`").cast("string")).alias("pieces"))
-    tokens = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["length"])
-    flat = rows.select("doc_id", "pieces", tokens.alias("doc_tokens")).select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "p.*", "doc_tokens")
+    flat = rows.select("doc_id", F.explode_outer("pieces").alias("p")).select("doc_id", "p.*")  # never empty; a plain explode infers a filter that runs the tokenizer twice
     pieces = shared(flat, "pack-pieces")
     # Numbers: hash slots of bounded size, a local rank in each (slot, length), and offsets from their counts.
     slots = max(1, -(-pieces.count() // 200_000))
