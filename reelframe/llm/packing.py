@@ -32,7 +32,7 @@ from .common import shared
 MAX_LENGTH = 2048
 END = 1
 #: Words and pieces that a task remembers the ids of, each in two generations of this size.
-CACHE = 250_000
+CACHE = 100_000
 
 #: Words of these characters split into pieces by the same rules here ('<' may begin a special token);
 #: all others go to the tokenizer whole.
