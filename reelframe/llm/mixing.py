@@ -4,8 +4,8 @@ Sizes are words. Targets share the corpus by weight; a target stops at MOST time
 and the excess is shared anew among the rest. A source's documents lie in blocks of about BLOCK_WORDS
 words, by a hash that is at once the source's permutation. A source is taken whole as often as its
 target allows; of one more pass it gives a prefix of its permuted blocks, the last of them cut at a
-document; of the stretch around the cut the subset whose words add up best is taken, so the words
-taken come very near the target. Every block drawn counts for the source's exact quota. The quotas are split
+document; documents are taken in order until the next STRETCH_DOCS hold the rest, of which the subset
+whose words add up best is taken, so the words taken come very near the target. Every block drawn counts for the source's exact quota. The quotas are split
 among the output shards by a binary tree: each node draws its left half's quotas from a multivariate
 hypergeometric law, so every shard holds an exact, random share; a shard's draws of a source are
 consecutive in its permutation, hence disjoint. Within a shard rows are ordered by hash.
@@ -19,6 +19,8 @@ table gives an empty result; extra columns are ignored or carried, whatever thei
 
 from __future__ import annotations
 
+from itertools import accumulate, islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 200_000
 MAX_BLOCKS = 65_536
-#: The last stretch of a source: the words and documents among which the best subset is sought.
+#: The last stretch of a source: the words left at most and the documents among which the best subset is sought.
 STRETCH_WORDS, STRETCH_DOCS = 100_000, 600
 SHARD_WORDS = 50_000_000
 MAX_SHARDS = 256
@@ -73,15 +75,15 @@ def _block(place: Column, blocks: Column) -> Column:
     return F.shiftright(F.shiftright(place, 31) * blocks, 32)
 
 
-def choose(sizes: list[int], room: int) -> list[bool]:
-    """Which of the sizes add up nearest to ``room``, by exact subset sums; the earliest where there is a choice."""
+def choose(sizes: list[int], room: int, above: bool = True) -> list[bool]:
+    """Which of the sizes add up nearest to ``room`` (from below, or else from either side), by exact subset sums; the earliest where there is a choice."""
     mask = (1 << (2 * room + 2)) - 1
     reach = [1]  # bit s: sum s can be made of the sizes behind
     for s in reversed(sizes):
         reach.append((reach[-1] | reach[-1] << s) & mask)
     low = (reach[-1] & ((1 << (room + 1)) - 1)).bit_length() - 1
-    above = reach[-1] >> (room + 1)
-    high = room + (above & -above).bit_length() if above else None
+    over = reach[-1] >> (room + 1) if above else 0
+    high = room + (over & -over).bit_length() if over else None
     want = high if high is not None and high - room < room - low else low
     out = []
     for i, s in enumerate(sizes):
@@ -91,20 +93,47 @@ def choose(sizes: list[int], room: int) -> list[bool]:
     return out
 
 
+def fill(sizes: list[int], room: int) -> list[bool]:
+    """Which of the sizes, which hold more than ``room``, to take: in order until the next STRETCH_DOCS that fit hold
+    twice the room left (or are the last), then the best subset of those and the smallest size above the room left.
+    While that misses the room and others behind fit what is left, they are tried too. Empty ones go with those
+    around them."""
+    taken, at, best = [False] * len(sizes), 0, (room + 1, [])
+    while True:
+        stretch, start = list(islice((i for i in range(at, len(sizes)) if 0 < sizes[i] <= room), STRETCH_DOCS)), at
+        held, last = sum(sizes[i] for i in stretch), len(stretch) < STRETCH_DOCS
+        for i in stretch:
+            if sizes[i] > room or (room <= STRETCH_WORDS and (last and held > room or held >= 2 * room)):
+                break
+            taken[i], at = True, i + 1
+            room, held = room - sizes[i], held - sizes[i]
+        if at > start:
+            continue
+        over = min((i for i, s in enumerate(sizes) if not taken[i] and room < s < 2 * room), key=lambda i: sizes[i], default=None)
+        tried = sorted([*stretch, *([over] if over is not None else [])])
+        chosen = [i for i, t in zip(tried, choose([sizes[i] for i in tried], room)) if t]
+        best = min(best, (abs(room - sum(sizes[i] for i in chosen)), [i for i, t in enumerate(taken) if t] + chosen), key=lambda b: b[0])
+        if last or not best[0]:
+            break
+        for i, t in zip(stretch, choose([sizes[i] for i in stretch], room, above=False)):
+            taken[i], room = t, room - sizes[i] * t
+        at = stretch[-1] + 1
+    found, end = set(best[1]), max(best[1], default=0)
+    return [i in found or (i < end and not s) for i, s in enumerate(sizes)]
+
+
 def _fill(docs: pd.DataFrame) -> pd.DataFrame:
-    """Cut of one source's last block: units in order up to a stretch, of which the best subset is taken."""
+    """Cut of one source's last block: all before ``cut`` but ``less`` is taken, and ``more`` behind it."""
     docs = docs.groupby("place", as_index=False).agg({"size": "sum", "room": "first", "source_no": "first"}).sort_values("place")
     places, sizes = docs["place"].tolist(), docs["size"].astype(int).tolist()
-    room, at = round(float(docs["room"].iloc[0])), 0
-    while room - sizes[at] > STRETCH_WORDS:
-        room -= sizes[at]
-        at += 1
-    end = min(len(sizes), at + STRETCH_DOCS)
-    taken = choose(sizes[at:end], room)
-    first = next((i for i, t in enumerate(taken) if not t), len(taken))
-    cut = places[at + first] if at + first < len(places) else places[-1] + 1
-    more = [p for p, t in zip(places[at + first : end], taken[first:]) if t]
-    return pd.DataFrame({"source_no": [int(docs["source_no"].iloc[0])], "cut": [int(cut)], "more": [more]})
+    taken = fill(sizes, round(float(docs["room"].iloc[0])))
+    # the cut with the fewest exceptions to either side
+    short = [*accumulate((1 if t else -1 for t in taken), initial=0)]
+    at = max(range(len(short)), key=short.__getitem__)
+    less = [p for p, t in zip(places[:at], taken) if not t]
+    more = [p for p, t in zip(places[at:], taken[at:]) if t]
+    cut = places[at] if at < len(places) else places[-1] + 1
+    return pd.DataFrame({"source_no": [int(docs["source_no"].iloc[0])], "cut": [int(cut)], "less": [less], "more": [more]})
 
 
 class Mix:
@@ -134,7 +163,7 @@ class Mix:
         ends = sums.withColumn("run", run).where("run > room").groupBy("source_no").agg(F.min(F.struct("block", (F.col("room") - (F.col("run") - F.col("words"))).alias("room"))).alias("e"))
         ends = shared(ends.select("source_no", F.col("e.block").alias("block"), F.col("e.room").alias("left")), "mix-ends")
         inside = join_small(placed, ends, ["source_no", "block"], "inner").select("source_no", "place", "size", F.col("left").alias("room"))
-        cuts = inside.groupBy("source_no").applyInPandas(_fill, "source_no long, cut long, more array<long>").join(ends.select("source_no", "block"), "source_no").collect()
+        cuts = inside.groupBy("source_no").applyInPandas(_fill, "source_no long, cut long, less array<long>, more array<long>").join(ends.select("source_no", "block"), "source_no").collect()
 
         cut = {r["source_no"]: r for r in cuts}
         quotas = np.array([p * b + (cut[i]["block"] + 1 if i in cut else 0) for i, (p, b) in enumerate(zip(passes, blocks))], dtype=np.int64)
@@ -144,14 +173,14 @@ class Mix:
         self.quotas = split
         upto = split.cumsum(axis=0)
         plan = [
-            (r["source"], sizes[i], self.targets[i], passes[i], blocks[i], int(cut[i]["cut"]) if i in cut else 0, list(cut[i]["more"]) if i in cut else [], upto[:, i].tolist())
+            (r["source"], sizes[i], self.targets[i], passes[i], blocks[i], *((int(cut[i]["cut"]), list(cut[i]["less"]), list(cut[i]["more"])) if i in cut else (0, [], [])), upto[:, i].tolist())
             for i, r in enumerate(rows)
         ]
-        self.plan = spark.createDataFrame(plan, "plan_source string, source_size long, target double, passes long, blocks long, cut long, more array<long>, upto array<long>")
+        self.plan = spark.createDataFrame(plan, "plan_source string, source_size long, target double, passes long, blocks long, cut long, less array<long>, more array<long>, upto array<long>")
 
     def _planned(self, df: DataFrame) -> DataFrame:
         out = join_small(df, self.plan, F.col("source").eqNullSafe(F.col("plan_source")), "inner", self.rows)
-        more = (F.col("place") < F.col("cut")) | F.array_contains("more", F.col("place"))
+        more = F.when(F.col("place") < F.col("cut"), ~F.array_contains("less", F.col("place"))).otherwise(F.array_contains("more", F.col("place")))
         return out.withColumn("takes", F.col("passes") + F.when(more, 1).otherwise(0))
 
     def taken(self) -> DataFrame:

@@ -233,6 +233,30 @@ def test_mixing_blocks_smaller_than_a_source(spark, monkeypatch):
     _check_mix(rows(mixing.query(df)), {d[0]: d[3] for d in data})
 
 
+def test_mixing_fills_the_room_with_any_sizes():
+    rng = random.Random(8)
+    kinds = [lambda: rng.randint(10, 20), lambda: 1, lambda: rng.choice([0, 0, 0, 15]), lambda: rng.choice([3, 4000]), lambda: rng.randint(50, 900)]
+    for kind in kinds:
+        sizes = [kind() for _ in range(9000)]
+        for room in (0, 1, 7_000, min(60_000, sum(sizes) - 1), min(150_000, sum(sizes) - 1)):
+            assert abs(room - sum(s for s, t in zip(sizes, mixing.fill(sizes, room)) if t)) <= 5, room
+    sizes = [150_000] + [20] * 6000
+    taken = mixing.fill(sizes, 100_000)
+    assert not taken[0] and sum(taken) == 5000
+    assert mixing.fill([0] * 700 + [5] * 10 + [0], 20) == [True] * 704 + [False] * 7 and sum(mixing.fill([400] * 601 + [7] * 9, 607)) == 10
+
+
+def test_mixing_many_short_documents(spark):
+    rng = random.Random(9)
+    data = [(i, " ".join(["w"] * rng.choice([0, *range(10, 21)])), "x", "abc"[i % 3], 0) for i in range(12_000)]
+    found = rows(mixing.query(spark.createDataFrame(data, SCHEMA)))
+    _check_mix(found, {d[0]: d[3] for d in data})
+    plan = mixing.Mix(spark.createDataFrame(data, SCHEMA))
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in found if r["size"]}
+    drawn = Counter(r.doc_id for r in plan.rows_of(spark.createDataFrame(data, SCHEMA)).select("row.doc_id").collect())
+    assert all(drawn[i] == n for i, n in taken.items())
+
+
 def test_exact_dedup_runs_across_partitions(spark):
     data = [(i, "Copy" if i % 3 else f"text {i % 40}", "e", "s", 0) for i in range(4000)]
     df = spark.createDataFrame(data, SCHEMA).repartition(8)
