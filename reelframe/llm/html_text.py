@@ -1,12 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block element; character references are decoded afterwards. Text
-lengths are summed over sliding windows of lines; where the sum leaves zero is a surge point, where it
-returns to zero a dive point, and the lines between the points of the heaviest surges are the text.
+Markup is stripped to lines, one a block element; character references are decoded afterwards. A line
+weighs its characters outside links; mostly linked lines and short ones that end no sentence weigh
+nothing. Weights are summed over sliding windows of lines; a sum of SURGE or more is a surge, a sum
+that returns to nothing a dive, and the lines between them are the text, with the headings before them.
+A lone line below LONE characters without a heading is a notice. Where nothing surges, the heaviest
+stretch is the text.
 Regions that declare themselves no main text (menus, headers, footers, sidebars, notices, adverts,
 forms, comments; by element, role, class or id) weigh nothing, so they separate surges, and within
 the chosen stretch their lines are left out. A page that marks its article (``article``, ``main`` or
-an article body class) has weight only there; a page without marks is decided by the windows alone.
+an article body class) has weight only there, short lines too, and every stretch there is text; the
+windows take its link lists out. An article that only the class of an element around it would exclude
+counts where no other is marked and the rest of the page is less.
 
 Defined results: null html counts as empty and gives an empty text; unclosed or broken markup is read
 as browsers do for block elements; pages of any length are read whole; a page of markup alone gives
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
+#: Characters in a window that make a surge, of a line that ends no sentence, and of a stretch of one line.
+SURGE, SHORT, LONE = 80, 25, 200
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text.
@@ -45,49 +53,62 @@ _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?content|entry-?con
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SENTENCE = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*\Z")
+#: How a line lies outside main text: not, by the class of an element around its article, in any case.
+INSIDE, WRAPPED, OUTSIDE = 0, 1, 2
 #: An opening tag of the key closes an open element of these names (of the same list or table).
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _outside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
+def _outside(name: str, attrs: dict[str, str], in_main: bool) -> int:
     if name in _OUTSIDE or (name == "header" and not in_main):
-        return True
+        return OUTSIDE
     if attrs.get("role", "").lower() in _OUTSIDE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+        return OUTSIDE
     if name in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    return any(_OUTSIDE_NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
+        return INSIDE
+    named = any(_OUTSIDE_NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
+    return (OUTSIDE if in_main else WRAPPED) if named else INSIDE
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines in page order: text, whether it lies outside main text, whether it lies in a marked article."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, main: as they hold within
-    parts: list[str] = []
-    outside = main = False
+class Line(NamedTuple):
+    text: str
+    outside: int
+    main: bool  #: in a marked article
+    links: int  #: characters in links
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """Lines in page order."""
+    out: list[Line] = []
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, outside, main, link, heading: as they hold within
+    parts: list[tuple[str, bool]] = []
+    outside, main, link, heading = INSIDE, False, False, False
 
     def end_line() -> None:
         if parts:
-            text = " ".join(_html.unescape("".join(parts)).split())
+            text = " ".join(_html.unescape("".join(p for p, _ in parts)).split())
+            linked = " ".join(_html.unescape("".join(p for p, a in parts if a)).split()) if any(a for _, a in parts) else ""
             parts.clear()
             if text:
-                out.append((text, outside, main))
+                out.append(Line(text, outside, main, len(linked), heading))
 
     def close(depth: int) -> None:
-        nonlocal outside, main
-        if any(n in _BLOCK for n, _, _ in stack[depth:]):
+        nonlocal outside, main, link, heading
+        if any(e[0] in _BLOCK for e in stack[depth:]):
             end_line()
         del stack[depth:]
-        outside, main = stack[-1][1:] if stack else (False, False)
+        outside, main, link, heading = stack[-1][1:] if stack else (INSIDE, False, False, False)
 
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
-            parts.append(page[at:])
+            parts.append((page[at:], link))
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            parts.append((page[at : m.start()], link))
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -114,7 +135,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     break
             continue
         if name == "br":
-            parts.append(" ")
+            parts.append((" ", link))
             continue
         if name in _VOID:
             if name in _BLOCK:
@@ -136,51 +157,69 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     if stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "tfoot"):
                         break
         attrs = {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])}
-        stack.append((name, outside or _outside(name, attrs, main), main or name in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" or bool(_MAIN_NAMES.search(attrs.get("class", "")) or _MAIN_NAMES.search(attrs.get("id", "")))))
-        outside, main = stack[-1][1:]
+        marks = name in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        marks = marks or bool(_MAIN_NAMES.search(attrs.get("class", "")) or _MAIN_NAMES.search(attrs.get("id", "")))
+        stack.append((name, max(outside, _outside(name, attrs, main)), main or marks, link or name == "a", heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+        outside, main, link, heading = stack[-1][1:]
         if len(stack) > 5000:  # unclosed inline elements: the innermost state is all that matters
             del stack[1:2500]
     end_line()
     return out
 
 
-def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Stretches of lines [a, b) between a surge and a dive of the window sums, with their weight.
+def weight(line: Line, short: bool) -> int:
+    """Characters outside links; none of mostly linked lines nor, unless ``short`` ones count, of short ones that end no sentence."""
+    if 2 * line.links > len(line.text) or not (short or len(line.text) >= SHORT or _SENTENCE.search(line.text)):
+        return 0
+    return len(line.text) - line.links
+
+
+def surges(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Stretches of lines [a, b) before each dive of the window sums, with their weight and greatest window sum.
 
-    A window sum covers a line and the ``window - 1`` lines after it; it surges at the first line with
-    weight and dives where a whole window has none, so that shorter gaps are bridged.
+    A window sum covers a line and the ``window - 1`` lines before it; it dives where a whole window has
+    no weight, so that shorter gaps are bridged.
     """
-    out, start, last, total = [], None, 0, 0
+    out, start, last, total, peak = [], None, 0, 0, 0
     sums = 0
     for i, w in enumerate(weights):
         sums += w - (weights[i - window] if i >= window else 0)
         if start is None and w:
-            start, total = i, 0
+            start, total, peak = i, 0, 0
         if start is not None:
-            total += w
+            total, peak = total + w, max(peak, sums)
             if w:
                 last = i
             if not sums:
-                out.append((start, last + 1, total))
+                out.append((start, last + 1, total, peak))
                 start = None
     if start is not None:
-        out.append((start, last + 1, total))
+        out.append((start, last + 1, total, peak))
     return out
 
 
 def main_text(page: str, window: int = WINDOW) -> str:
     found = lines(page)
-    marked = any(m and not o for _, o, m in found)
-    weights = [0 if o or (marked and not m) else len(t) for t, o, m in found]
+    most = INSIDE if any(x.main and x.outside == INSIDE for x in found) else None
+    if most is None:  # an article within an element of such a class, if more than the rest of the page (so not its comments)
+        wrapped, rest = (sum(weight(x, True) for x in found if x.outside == o and x.main == (o == WRAPPED)) for o in (WRAPPED, INSIDE))
+        most = WRAPPED if wrapped > rest and any(x.main and x.outside == WRAPPED for x in found) else None
+    marked = most is not None
+    inside = [x.outside <= most and x.main if marked else x.outside == INSIDE for x in found]
+    weights = [weight(x, marked) if i else 0 for x, i in zip(found, inside)]
     stretches = surges(weights, window)
-    if not stretches:
-        return ""
-    if marked:  # the page names its article: every stretch of it is text
-        chosen = stretches
-    else:  # the heaviest stretch, and those beside it of comparable weight
-        most = max(s[2] for s in stretches)
-        chosen = [s for s in stretches if s[2] * 4 >= most]
-    return "\n".join(t for a, b, _ in chosen for (t, _, _), w in zip(found[a:b], weights[a:b]) if w)
+    if not stretches:  # nothing but links and short lines: a text of one or two such
+        weights = [len(x.text) if i and 2 * x.links <= len(x.text) else 0 for x, i in zip(found, inside)]
+        stretches = surges(weights, window)
+    headed, end = [], 0
+    for a, b, total, peak in stretches:
+        first = a
+        while first > end and inside[first - 1] and found[first - 1].heading and 2 * found[first - 1].links <= len(found[first - 1].text):
+            first -= 1
+        headed.append((first, b, total, peak, first < a or sum(w > 0 for w in weights[a:b]) > 1 or total >= LONE))
+        end = b
+    chosen = headed if marked else [s for s in headed if s[3] >= SURGE and s[4]] or [max(headed, key=lambda s: s[2])] if headed else []
+    return "\n".join(x.text for a, b, *_ in chosen for x, i in zip(found[a:b], inside[a:b]) if i)
 
 
 _FIELDS = [("text", pa.string()), ("n_chars", pa.int64())]

@@ -297,6 +297,29 @@ def test_html_text():
     assert html_text.main_text("plain <b>te</b>xt") == "plain text"
 
 
+SENTENCES = "The first line of the story says what happened and where it did."
+UNMARKED = f"""<body><table><tr><td><a href=/>Home</a><td><a href=/n>News of the whole wide world today</a><td><a href=/c>Contact</a><td>Menu</table>
+<div>We use cookies to make this site work, and nothing else at all.</div><div>Login</div><div>Register</div><div>Help</div>
+<div><h2>Story</h2><div>{SENTENCES}</div><div>{"More of it follows here. " * 40}</div><div>See <a href=/x>this page</a> as well, it tells the rest of the story.</div></div>
+<div><a href=/1>One of many stories that you may like</a></div><div><a href=/2>Two</a></div><div><a href=/3>Three</a></div>
+<div><h3>Afterword</h3></div><div>A short end. It closes the story, says goodbye and thanks all who read it up to this line.</div>
+<div>Imprint</div><div>Terms</div><div>Privacy</div></body>"""
+
+
+def test_html_unmarked_pages():
+    want = ["Story", SENTENCES, ("More of it follows here. " * 40).strip(), "See this page as well, it tells the rest of the story.", "Afterword"]
+    assert html_text.main_text(UNMARKED) == "\n".join([*want, "A short end. It closes the story, says goodbye and thanks all who read it up to this line."])
+    assert html_text.main_text("<div>One</div><div>Two</div>") == "One\nTwo" and html_text.main_text("<div><a href=/>Home</a></div>") == ""
+
+
+def test_html_marked_pages():
+    links = "".join(f"<p><a href=/{i}>Another story of ours</a></p>" for i in range(4))
+    page = f"<div class='sidebar-left'><article><h1>Head</h1><p>Short</p><div class=ad>Buy</div>{links}<p>{SENTENCES}</p><p>End</p></article></div><div>All that stands beside it.</div>"
+    assert html_text.main_text(page) == f"Head\nShort\n{SENTENCES}\nEnd"
+    comments = f"<main><p>{SENTENCES}</p></main><div class=comments><article><p>I disagree.</p></article></div>"
+    assert html_text.main_text(comments) == html_text.main_text(comments.replace("main>", "div>")) == SENTENCES
+
+
 def test_html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
