@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two sequences of tokens."""
-    return pack(docs, with_ids=False)
+    """Power-of-two sequences of tokens, with the ids themselves."""
+    return pack(docs)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash", near), ("mixing", mixed), ("packing", packed)]

@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline
 
 from . import brute
@@ -44,6 +46,11 @@ def test_stages_in_turn(spark, sf_dir, tmp_path):
     assert tokens == {i: n * whole[i] for i, n in copies.items()}
 
 
+def test_run_gives_token_ids(spark, sf_dir):
+    for r in corpus_pipeline.run(spark, sf_dir).limit(200).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_run_is_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() == corpus_pipeline.run(spark, sf_dir).count() > 0
