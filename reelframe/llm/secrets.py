@@ -3,8 +3,9 @@
 Three base patterns give spans of their own. Other candidates are runs of key characters; a window
 slides over each run, its entropy kept by incremental counts (one character in, one out), once with
 the limits of hexadecimal runs and once with those of base-64 runs; maximal stretches of windows over
-the limit become ``entropy`` spans unless an allow-list rule suppresses them. Allow-listing never
-touches base spans.
+the limit become ``entropy`` spans unless an allow-list rule suppresses them. Runs of SHORTEST to
+WINDOW characters are one window with a limit by their length. Words that name a placeholder are cut
+out of a run; within a found stretch they suppress it. Allow-listing never touches base spans.
 
 Defined results: null text counts as empty (no spans; digest of the empty string); texts of any
 length are scanned whole; repeated rows give repeated results.
@@ -30,8 +31,12 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 
 WINDOW = 24
+#: Shorter runs, down to this, are one window; their limit falls as the entropy that so many characters can have.
+SHORTEST = 16
 #: Class: characters of a candidate, least entropy of a window in bits a character.
-CLASSES = {"hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 3.0), "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 3.8)}
+CLASSES = {"hex": (re.compile(r"[0-9A-Fa-f]{16,}"), 3.0), "base64": (re.compile(r"[A-Za-z0-9+/_=-]{16,}"), 3.8)}
+#: A part of an identifier or path that reads like a name: words, numbers, a word with a number.
+_NAME = r"(?:[0-9]{1,8}|(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[a-z][0-9]{0,4}|[0-9]{1,3}[A-Za-z]{1,2}|[0-9]{1,8}T[0-9]{1,6}Z?)"
 #: Candidates that match one of these whole are known not to be secrets.
 ALLOW = tuple(
     re.compile(p)
@@ -39,11 +44,11 @@ ALLOW = tuple(
         r"[0-9]+",  # numbers
         r"[A-Za-z]+",  # words run together
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-        r"[a-z]+([_/-][a-z]+)+",  # identifiers and paths
-        r"(?i:.*(example|sample|placeholder|dummy|xxxx).*)",
-        r"(https?)?[:/]*[A-Za-z0-9]+(/[A-Za-z_-]+)+",
+        rf"[_/+=-]*{_NAME}(?:[_/+=-]+{_NAME})*[_/+=-]*",  # identifiers and paths of names alone
     )
 )
+_PLACEHOLDER = re.compile(r"(?i:example|sample|placeholder|dummy|xxxx)")
+_PART = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9])")
 _PLOGP = [0.0] + [i * log2(i) for i in range(1, WINDOW + 1)]
 
 
@@ -78,15 +83,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _pieces(run: str) -> list[tuple[int, int]]:
+    """``run`` without the words of it that name a placeholder, which say nothing of a key beside them."""
+    if not _PLACEHOLDER.search(run):
+        return [(0, len(run))]
+    out, at = [], 0
+    for m in _PART.finditer(run):
+        if _PLACEHOLDER.search(m[0]):
+            out.append((at, m.start()))
+            at = m.end()
+    return [*out, (at, len(run))]
+
+
+def _stretches(run: str, least: float) -> list[tuple[int, int]]:
+    out = []
+    for a, b in _pieces(run):
+        piece = run[a:b].strip("_/=+-") if (a, b) != (0, len(run)) else run
+        a = run.index(piece, a)
+        if len(piece) < SHORTEST or any(p.fullmatch(piece) for p in ALLOW) or not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
+            continue
+        window = min(WINDOW, len(piece))
+        found = entropy_stretches(piece, least * log2(window) / log2(WINDOW), window)
+        out += [(a + x, a + y) for x, y in found if not _PLACEHOLDER.search(piece, x, y)]
+    return out
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Entropy spans that no base span overlaps."""
     out: dict[tuple[int, int], None] = {}
-    for pattern, least in CLASSES.values():
+    for name, (pattern, least) in CLASSES.items():
         for m in pattern.finditer(text):
-            run = m[0]
-            if any(p.fullmatch(run) for p in ALLOW) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-                continue
-            for a, b in entropy_stretches(run, least):
+            if name == "hex" and m.end() - m.start() < WINDOW and (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()):
+                continue  # a few letters of a longer run
+            for a, b in _stretches(m[0], least):
                 span = (m.start() + a, m.start() + b)
                 if not any(s < span[1] and span[0] < e for s, e, _ in taken) and not any(s < span[1] and span[0] < e for s, e in out):
                     out[span] = None

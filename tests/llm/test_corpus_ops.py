@@ -450,6 +450,25 @@ def test_secrets_cases(odd, no_docs):
     assert secrets.redact_secrets(odd).where("doc_id = 4").first()["text"].startswith("Same")
 
 
+def _caught(text, key):
+    spans = [s.split(":") for s in secrets.scan_text(text)["spans"].split(",") if s]
+    at = text.index(key)
+    return any(int(a) < at + len(key) and at < int(b) for _, a, b in spans)
+
+
+def test_secrets_random_keys():
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (16, 20, 24, 40):
+        keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(500)]
+        keys = [k for k in keys if any(c.isdigit() for c in k)]
+        assert sum(_caught(f"so {k} it is", k) for k in keys) >= 0.98 * len(keys), n
+    key = "q7Zk2LmX9vRt4WbN8sYp/QhDfJcGeUaKo"
+    assert _caught(f"so {key} it is", key) and _caught(f"see example_key={key}", key) and _caught(f"see {key}/sample", key)
+    plain = ["/home/user/projects/site2/index", "backup-2024-01-15-nightly", "https/www/docs/v2/getting-started", "chapter12/section3/figure4", "IMG_20240115_000123", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    assert [p for p in plain if secrets.scan_text(f"at {p} now")["spans"]] == []
+
+
 def test_entropy_is_that_of_windows():
     from math import log2
 
