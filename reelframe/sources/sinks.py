@@ -99,14 +99,38 @@ def export_pdf(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select(F.col("job").cast("string"), "order_index", "rotation", "height", "width", "data").groupBy("job").applyInPandas(run, "job string, path string, n_pages long")
 
 
-def debug_report(frames: DataFrame, segments: DataFrame, selected: DataFrame, collapsed: DataFrame, kept: DataFrame, limit: int = 12) -> DataFrame:
-    """(job, report): counts of every step and the first rejected and kept frames, as JSON."""
-    first = lambda cond: F.slice(F.array_sort(F.collect_list(F.when(cond, F.col("idx")))), 1, limit)
-    f = frames.groupBy("job").agg(F.count("*").alias("sampled_frames"), F.count_if("rejected").alias("rejected_frames"), first(F.col("rejected")).alias("rejected"))
-    count = lambda df, name: df.groupBy("job").agg(F.count("*").alias(name))
-    out = f
-    for df, name in ((segments, "segments"), (selected, "selected_pages"), (collapsed, "sequence_pages"), (kept, "deduped_pages")):
-        out = out.join(count(df, name), "job", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    k = kept.groupBy("job").agg(F.slice(F.array_sort(F.collect_list("idx")), 1, limit).alias("kept"))
-    out = out.join(k, "job", "left")
-    return out.select("job", F.to_json(F.struct(*[c for c in out.columns if c != "job"])).alias("report"))
+_FRAME = {
+    "score": "score", "readability_score": "readability_score", "transition_penalty": "transition_penalty", "single_page_score": "single_page_score", "page_coverage": "page_coverage",
+    "background_intrusion_ratio": "background_intrusion_ratio", "gutter_ratio": "gutter_ratio", "opposing_page_ratio": "opposing_page_ratio", "rejection_reasons": "reasons",
+}
+_PAGE = {
+    "page_id": "page_id", "label": "label", "source_segment_id": "segment_id", "segment_start": "start", "segment_end": "end", "frame_index": "idx", "timestamp": "t", "score": "score",
+    "readability_score": "readability_score", "single_page_score": "single_page_score", "page_coverage": "page_coverage", "background_intrusion_ratio": "background_intrusion_ratio",
+    "transition_penalty": "transition_penalty", "rejected": "rejected", "rejection_reasons": "reasons", "notes": "notes",
+}
+
+
+def debug_report(frames: DataFrame, segments: DataFrame, selected: DataFrame, collapsed: DataFrame, kept: DataFrame) -> DataFrame:
+    """(job, report): counts of every step, all rejected frames, segments and pages of each step, as JSON.
+
+    ``segments`` has a row for each frame of a segment.
+    """
+
+    def listed(df: DataFrame, name: str, order: str, fields: dict[str, str]) -> DataFrame:
+        row = F.struct(*[F.col(c).alias(k) for k, c in fields.items()])
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("idx").alias("i"), row.alias("row"))))
+        return df.groupBy("job").agg(F.transform(rows, lambda x: x["row"]).alias(name))
+
+    named = F.concat(F.lit("segment-"), F.col("seg_no"))
+    frame_counts = frames.groupBy("job").agg(F.count("*").alias("n_frames"))
+    rejected = listed(frames.where("rejected"), "rejected_frames", "idx", {"frame_index": "idx", "timestamp": "t"} | _FRAME)
+    candidates = F.array_sort(F.collect_list(F.when(F.col("is_candidate"), F.col("idx"))))
+    parts = segments.groupBy("job", "seg_no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("mean_change_ratio").alias("mean"), candidates.alias("found"), F.min("idx").alias("idx"))
+    parts = listed(parts.withColumn("segment_id", named), "segments", "seg_no", {"segment_id": "segment_id", "start_time": "start", "end_time": "end", "mean_change_ratio": "mean", "candidate_frame_indices": "found"})
+    out, names = frame_counts, []
+    pages = [(selected, "selected_pages", "ord"), (collapsed, "sequence_pages", "ord"), (kept, "deduped_pages", "page_number")]
+    for found, name in [(rejected, "rejected_frames"), (parts, "segments"), *[(listed(df.withColumn("segment_id", named), name, order, _PAGE), name) for df, name, order in pages]]:
+        out = out.join(found, "job", "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+        names.append(name)
+    counts = F.struct(F.col("n_frames").alias("sampled_frames"), *[F.size(n).alias(n) for n in names])
+    return out.select("job", F.to_json(F.struct(F.col("job").alias("job_id"), counts.alias("counts"), *names)).alias("report"))

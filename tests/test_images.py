@@ -1,3 +1,4 @@
+import json
 import re
 
 import numpy as np
@@ -155,6 +156,23 @@ def test_png_round_trip_and_reconstruction(spark, tmp_path):
         sinks.pdf([])
 
 
+def test_debug_report_lists_all(spark):
+    number = "t score readability_score transition_penalty single_page_score page_coverage background_intrusion_ratio gutter_ratio opposing_page_ratio start end mean_change_ratio".split()
+    frames = spark.range(40).select(
+        F.lit("j").alias("job"), F.col("id").alias("idx"), *[F.col("id").cast("double").alias(c) for c in number], F.array(F.lit("blur")).alias("reasons"), (F.col("id") < 25).alias("rejected"),
+        F.floor(F.col("id") / 2).alias("seg_no"), (F.col("id") % 2 == 1).alias("is_candidate"),
+    )
+    pages = frames.where("is_candidate").withColumns({"page_id": F.concat(F.lit("page-"), "seg_no"), "label": F.lit("Page"), "notes": F.array(F.lit("n")), "ord": F.col("seg_no"), "page_number": F.col("seg_no")})
+    report = json.loads(sinks.debug_report(frames, frames, pages, pages.where("idx < 35"), pages.where("idx < 31")).first().report)
+    assert report["counts"] == {"sampled_frames": 40, "rejected_frames": 25, "segments": 20, "selected_pages": 20, "sequence_pages": 17, "deduped_pages": 15}
+    assert [f["frame_index"] for f in report["rejected_frames"]] == list(range(25)) and report["rejected_frames"][3]["rejection_reasons"] == ["blur"]
+    assert [s["candidate_frame_indices"] for s in report["segments"]] == [[2 * i + 1] for i in range(20)]
+    assert [len(report[k]) for k in ("selected_pages", "sequence_pages", "deduped_pages")] == [20, 17, 15] and report["deduped_pages"][14]["frame_index"] == 29
+    assert report["job_id"] == "j" and report["segments"][2]["segment_id"] == report["selected_pages"][2]["source_segment_id"] == "segment-2"
+    none = json.loads(sinks.debug_report(frames.withColumn("rejected", F.lit(False)), frames.where("false"), pages, pages, pages.where("false")).first().report)
+    assert none["rejected_frames"] == none["segments"] == none["deduped_pages"] == [] and none["counts"]["selected_pages"] == 20
+
+
 def shots_of(path):
     """Decoder of the frame source for the test below."""
     for i in range(7):
