@@ -47,13 +47,28 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int | None = None) -> DataFrame:
-    """Join ``small`` to ``big``; broadcast only if ``small`` is counted to be within BROADCAST_ROWS.
+def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:
+    """``df`` with its gapless place in the order, from 0: ranges are sorted apart, then offset by their counts.
+
+    The driver holds one row a partition.
+    """
+    cols = {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    local = shared(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(cols), name)
+    at, before = 0, []
+    for r in local.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], at))
+        at += r["n"]
+    start = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    return local.join(F.broadcast(start), "_part").withColumn(number, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``small`` to ``big``; broadcast only if ``small`` is counted to be within ``most`` rows.
 
     Beyond that it is an ordinary shuffled join, whose skewed keys adaptive execution splits.
     """
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+    return big.join(F.broadcast(small) if n <= most else small, on, how)
 
 
 #: Bits of a membership filter: 2,048 bitmaps of 4 KB, 8 MB at any corpus size.

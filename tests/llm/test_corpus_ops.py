@@ -217,16 +217,65 @@ def test_choose_is_the_nearest_sum():
 def test_mixing_rows_and_shards(docs):
     plan = mixing.Mix(docs, shards=8)
     out = plan.rows_of(docs).select("row.doc_id", "shard").collect()
-    taken = {r["doc_id"]: r["taken"] // r["size"] for r in rows(plan.taken()) if r["size"]}
-    assert Counter(r.doc_id for r in out if r.doc_id in taken) == Counter({i: n for i, n in taken.items() if n})
-    assert {r.shard for r in out} <= set(range(8))
-    whole = plan.quotas.sum(axis=0)
-    assert (plan.quotas.sum(axis=1).max() - plan.quotas.sum(axis=1).min()) <= 3 and whole.min() >= 0
+    found = rows(plan.taken())
+    drawn = {r["doc_id"]: Counter(int(d.split(":")[0]) for d in r["draws"].split(",") if d) for r in found}
+    for r in found:  # what is taken is the sum of the draws of the shards
+        assert r["taken"] == sum(int(d.split(":")[1]) for d in r["draws"].split(",") if d)
+    assert Counter((r.doc_id, r.shard) for r in out) == Counter({(i, s): n for i, c in drawn.items() for s, n in c.items()})
+    assert len({r.shard for r in out}) > 4 and {r.shard for r in out} <= set(range(8))
+    # every block of the quotas is in one shard, and shards are even
+    rows_ = plan.plan.collect()
+    assert all(r.upto[-1] == r.quota and r.upto == sorted(r.upto) for r in rows_) and plan.shares.sum() == sum(r.quota for r in rows_)
+    assert plan.shares.sum(axis=1).max() - plan.shares.sum(axis=1).min() <= 1
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_quotas_follow_the_hypergeometric_law():
+    import numpy as np
+
+    quotas, totals = np.array([40, 25, 10, 5]), np.array([30, 10, 24, 16])
+    tables = np.array([mixing.split_quotas(quotas, totals, np.random.default_rng(i)) for i in range(4000)])
+    assert (tables.sum(axis=1) == quotas).all() and (tables.sum(axis=2) == totals).all() and tables.min() >= 0
+    n = quotas.sum()
+    mean = np.outer(totals, quotas) / n
+    variance = mean * (1 - quotas / n) * (n - totals[:, None]) / (n - 1)
+    assert np.abs(tables.mean(axis=0) - mean).max() < 0.12 and np.abs(tables.var(axis=0) / variance - 1).max() < 0.12
+    # groups first, then the sources of each group given the group's shards: the same law
+    two = []
+    for i in range(4000):
+        top = mixing.split_quotas(np.array([65, 15]), totals, np.random.default_rng([i, 1]))
+        two.append(np.hstack([mixing.split_quotas(quotas[2 * g : 2 * g + 2], top[:, g], np.random.default_rng([i, 2, g])) for g in range(2)]))
+    assert np.abs(np.mean(two, axis=0) - mean).max() < 0.12 and np.abs(np.var(two, axis=0) / variance - 1).max() < 0.12
+    assert mixing.even(10, 4).tolist() == [2, 3, 2, 3] and (mixing.split_quotas(np.zeros(3, int), np.zeros(4, int), np.random.default_rng(1)) == 0).all()
+
+
+def test_mixing_repeated_rows(spark):
+    """A third of all rows, and a whole source, are one row repeated: taken in part, near the target."""
+    data = [(7, "ten words stand in this row of the big source", "a", "big", 0)] * 3000 + [(i, " ".join(["w"] * (5 + i % 7)), "a", "mid", 0) for i in range(3000)] + [(None, "null ids too", "a", "tiny", 0)] * 1400
+    df = spark.createDataFrame([(i, t, a, s, n) for i, t, a, s, n in data], SCHEMA).repartition(5)
+    found = rows(mixing.query(df))
+    by = {7: "big", None: "tiny"} | {i: "mid" for i in range(3000) if i != 7}
+    found = [r for r in found if r["doc_id"] != 7 or r["size"] == 10]
+    assert len(found) == len(data) - 1
+    for source in ("big", "mid", "tiny"):
+        part = [r for r in found if by[r["doc_id"]] == source]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 0.01 * part[0]["target"] + 20, source
+    plan = mixing.Mix(df)
+    assert plan.partly and Counter(r.doc_id for r in plan.rows_of(df).select("row.*").where("source = 'tiny'").collect()) == Counter({None: sum(r["taken"] // r["size"] for r in found if r["doc_id"] is None)})
+    assert mixing.fill_copies([10, 3], [5000, 2], 30_003) == [3000, 1] and mixing.fill_copies([0, 4], [9, 3], 8) == [9, 2]
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """More sources than groups; the plan is joined by a shuffle."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(mixing, "GROUPS", 8)
+    data = [(i, " ".join(["w"] * (1 + i % 9)), "x", f"s{i * i % 61}", 0) for i in range(3000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    _check_mix(rows(mixing.query(df)), {d[0]: d[3] for d in data}, 0.01)
+
+
 def test_mixing_blocks_smaller_than_a_source(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(mixing, "STRETCH_WORDS_ALL", 500)
     rng = random.Random(5)
     data = [(i, " ".join("w" for _ in range(rng.randint(0, 60))), "x", rng.choice("aaaaabcdé") if i % 50 else None, 0) for i in range(2000)]
     df = spark.createDataFrame(data, SCHEMA)
