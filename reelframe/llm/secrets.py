@@ -5,16 +5,21 @@ slides over each run, its entropy kept by incremental counts (one character in,
 the limits of hexadecimal runs and once with those of base-64 runs; maximal stretches of windows over
 the limit become ``entropy`` spans unless an allow-list rule suppresses them. Runs of SHORTEST to
 WINDOW characters are one window with a limit by their length. Words that name a placeholder are cut
-out of a run; within a found stretch they suppress it. Allow-listing never touches base spans.
+out of a run; within a found stretch they suppress it. Allow-listing never touches base spans. An
+entropy span that overlaps a base span, or one found with the limits of hexadecimal runs, is left out;
+base spans of different kinds may overlap one another.
 
 Defined results: null text counts as empty (no spans; digest of the empty string); texts of any
-length are scanned whole; repeated rows give repeated results.
+length are scanned whole, in time linear in their length; repeated rows give repeated results; null
+identifiers are carried; an empty table gives an empty result; extra columns are ignored by
+``scan_secrets`` and carried by ``redact_secrets``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from math import log2
 
 import pyarrow as pa
@@ -36,7 +41,7 @@ SHORTEST = 16
 #: Class: characters of a candidate, least entropy of a window in bits a character.
 CLASSES = {"hex": (re.compile(r"[0-9A-Fa-f]{16,}"), 3.0), "base64": (re.compile(r"[A-Za-z0-9+/_=-]{16,}"), 3.8)}
 #: A part of an identifier or path that reads like a name: words, numbers, a word with a number.
-_NAME = r"(?:[0-9]{1,8}|(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[a-z][0-9]{0,4}|[0-9]{1,3}[A-Za-z]{1,2}|[0-9]{1,8}T[0-9]{1,6}Z?)"
+_NAME = r"(?:[0-9]{1,8}|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[a-z][0-9]{0,4}|[0-9]{1,3}[A-Za-z]{1,2}|[0-9]{1,8}T[0-9]{1,6}Z?)"
 #: Candidates that match one of these whole are known not to be secrets.
 ALLOW = tuple(
     re.compile(p)
@@ -108,17 +113,34 @@ def _stretches(run: str, least: float) -> list[tuple[int, int]]:
     return out
 
 
+class _Cover:
+    """Union of spans; tells in a bisection whether another one overlaps it."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Entropy spans that no base span overlaps."""
-    out: dict[tuple[int, int], None] = {}
+    """Entropy spans that overlap no base span, nor one found with the limits of an earlier class."""
+    out: list[tuple[int, int]] = []
     for name, (pattern, least) in CLASSES.items():
+        cover = _Cover([(a, b) for a, b, _ in taken] + out)
         for m in pattern.finditer(text):
             if name == "hex" and m.end() - m.start() < WINDOW and (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()):
                 continue  # a few letters of a longer run
-            for a, b in _stretches(m[0], least):
-                span = (m.start() + a, m.start() + b)
-                if not any(s < span[1] and span[0] < e for s, e, _ in taken) and not any(s < span[1] and span[0] < e for s, e in out):
-                    out[span] = None
+            found = [(m.start() + a, m.start() + b) for a, b in _stretches(m[0], least)]
+            out += [span for span in found if not cover.meets(*span)]
     return [(a, b, "entropy") for a, b in out]
 
 
@@ -147,12 +169,13 @@ def _redact(text: pa.Array) -> pa.Array:
     for t in text:
         t = t.as_py()
         if t:
-            base = base_spans(t)
-            end = len(t)
+            base, parts, end = base_spans(t), [], len(t)
             for a, b, k in sorted(base + entropy_spans(t, base), reverse=True):
                 b = min(b, end)  # base kinds may overlap one another
                 if a < b:
-                    t, end = f"{t[:a]}[{k}]{t[b:]}", a
+                    parts += [t[b:end], f"[{k}]"]
+                    end = a
+            t = "".join([t[:end], *reversed(parts)])
         out.append(t)
     return pa.array(out, pa.string())
 
