@@ -5,16 +5,19 @@ of ``max_length`` before them). Each piece is a sequence of its own, so none cro
 none is padded; pieces of equal length form a bucket, and sequence ids run gaplessly through the
 buckets from the longest to the shortest, so a trainer reads equal lengths side by side.
 
-Tokens come from a cache: the tokenizer never joins text across white space, and it splits words into
-runs of letters, digits and marks before it merges, so a text's ids are those of its pieces in a row
-(a test holds this against the tokenizer on whole texts).
-
-Defined results: null or empty text is one piece, the end token; rows with equal or null identifiers
-are packed one by one; extra columns are ignored by ``pack``; an empty table gives an empty result.
+Where a tokenizer normalises and splits text as FAST says (the default file does), its tokens come from
+a cache: it never joins text across white space, and it splits words into runs of letters, digits and
+marks before it merges, so a text's ids are those of its pieces in a row (a test holds this against the
+tokenizer on whole texts). Any other tokenizer reads every text whole.
+
+Defined results: null or empty text is one piece, the end token; a text of any length is read whole;
+rows with equal or null identifiers are packed one by one; extra columns are ignored by ``pack``,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,6 +34,8 @@ from .common import shared
 
 MAX_LENGTH = 2048
 END = 1
+#: Pieces numbered by one task, and slots whose offsets are summed by one task.
+SLOT_PIECES, RANGE = 200_000, 4096
 #: Words and pieces that a task remembers the ids of, each in two generations of this size.
 CACHE = 100_000
 
@@ -41,6 +46,28 @@ _PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+# The normalisation and splitting of the tokenizer files for which the cache is proven.
+FAST = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+@lru_cache(maxsize=2)
+def is_fast(path: str) -> bool:
+    """Whether ids may come from the cache; special tokens must begin with '<', which sends a word to the tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    plain = said["model"].get("type") == "BPE" and not said["model"].get("dropout") and not said.get("truncation") and not said.get("padding")
+    return plain and all(said.get(k) == v for k, v in FAST.items()) and all(t["content"].startswith("<") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said["added_tokens"])
+
+
 @lru_cache(maxsize=2)
 def load(path: str):
     """The tokenizer of a file, once a worker."""
@@ -60,7 +87,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = load(path)
+        self.tokenizer, self.fast = load(path), is_fast(path)
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])}
@@ -92,6 +119,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
+        if not self.fast:
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         words = text.split()
         found = list(map(self.words.get, words))
         if None in found:
@@ -156,13 +185,15 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokeni
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), cut(F.col(f"`{text_col}`").cast("string")).alias("pieces"))
     flat = rows.select("doc_id", F.explode_outer("pieces").alias("p")).select("doc_id", "p.*")  # never empty; a plain explode infers a filter that runs the tokenizer twice
     pieces = shared(flat, "pack-pieces")
-    # Numbers: hash slots of bounded size, a local rank in each (slot, length), and offsets from their counts.
-    slots = max(1, -(-pieces.count() // 200_000))
+    # Numbers: hash slots of bounded size, a local rank in each (length, slot), offsets from their counts within
+    # a (length, range of slots), and offsets of those: a dozen rows for each RANGE * SLOT_PIECES pieces.
+    slots = max(1, -(-pieces.count() // SLOT_PIECES))
     slotted = pieces.withColumn("slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(slots)))
-    counts = slotted.groupBy("length", "slot").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("length"), "slot").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each slot and length: twelve for each 200,000 pieces
-    base = counts.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = shared(slotted.groupBy("length", "slot").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("slot") / RANGE)), "pack-counts")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("length", "range").agg(F.sum("n").alias("n")).select("length", "range", before(Window.orderBy(F.desc("length"), "range")).alias("first"))
+    inner = counts.select("length", "range", "slot", before(Window.partitionBy("length", "range").orderBy("slot")).alias("within"))
+    base = inner.join(ranges, ["length", "range"]).select("length", "slot", (F.col("first") + F.col("within")).alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc_id", "start", "ids_crc32")) - 1
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")]
     numbered = slotted.withColumn("local", local).join(base, ["length", "slot"])

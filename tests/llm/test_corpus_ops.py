@@ -52,24 +52,30 @@ def labels(spark, sf_dir):
 
 
 def test_token_counts_match_plain_viterbi(docs, texts):
-    model, _ = token_counts.load(token_counts.default_model())
-    vocabulary = {}
-
-    def walk(node, word):
-        if node[1] is not None:
-            vocabulary[word] = node[1]
-        for c, x in node[0].items():
-            walk(x, word + c)
-
-    walk(model.root, "")
+    from math import log
+
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    words = Counter(w for _, t in texts for w in brute.WORD.findall(t))
+    freq = Counter()
+    for w, n in words.items():
+        for i in p.encode(w):
+            freq[i] += n
+    known = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
+    total = sum(freq[i] for i in known) + 0.5 * len(known)
+    vocabulary = {p.id_to_piece(i): log((freq[i] + 0.5) / total) for i in known}
+    unknown = min(vocabulary.values()) - token_counts.PENALTY
+    longest = max(map(len, vocabulary))
+    assert longest <= 64
     got = {r.doc_id: r for r in token_counts.query(docs).collect()}
-    memo = {}
-    for i, t in texts[:60]:
-        words = brute.WORD.findall(t)
-        for w in words:
-            memo.setdefault(w, brute.viterbi("▁" + w, vocabulary, model.unknown))
-        assert (got[i].n_pretokens, got[i].n_tokens) == (len(words), sum(memo[w] for w in words))
+    best = {w: brute.viterbi("▁" + w, vocabulary, unknown) for w in words}
+    for i, t in texts:
+        assert (got[i].n_pretokens, got[i].n_tokens) == (len(brute.WORD.findall(t)), sum(best[w] for w in brute.WORD.findall(t)))
     assert len(got) == len(texts)
+    # near the file's own segmentation of the same words
+    own = sum(n * len(p.encode(w)) for w, n in words.items())
+    assert abs(sum(r.n_tokens for r in got.values()) / own - 1) < 0.02
 
 
 def test_trie_and_single_scores_agree():
@@ -160,6 +166,32 @@ def test_word_cache_equals_the_tokenizer(monkeypatch):
         assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, repr(text)
 
 
+def test_packing_with_another_tokenizer(docs, texts):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.is_fast(packing.default_tokenizer()) and not packing.is_fast(path)
+    tok = Tokenizer.from_file(path)
+    by = defaultdict(list)
+    for r in packing.pack(docs.where("doc_id < 40"), tokenizer=path).collect():
+        by[r.doc_id].append((r.start, bytes(r.ids)))
+        assert zlib.crc32(r.ids) == r.ids_crc32
+    for i, t in texts:
+        if i < 40:
+            ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+            assert b"".join(x for _, x in sorted(by[i])) == b"".join(n.to_bytes(4, "little") for n in ids)
+
+
+def test_packing_numbers_over_slots_and_ranges(docs, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_PIECES", 30)
+    monkeypatch.setattr(packing, "RANGE", 4)
+    found = sorted(packing.query(docs).select("sequence_id", "length").collect())
+    assert [r.sequence_id for r in found] == list(range(len(found))) and [r.length for r in found] == sorted((r.length for r in found), reverse=True)
+
+
 def test_packing_ids_and_odd_rows(odd, no_docs):
     found = rows(packing.pack(odd))
     for r in found:
