@@ -1,45 +1,71 @@
 """Line deduplication by a segment-partition edit join.
 
-Every line is cut into ``distance + 1`` segments; two lines within the distance agree on a segment at
-a nearly equal place, so each line indexes its own segments (keyed by length, number and content) and
-probes the substrings that a line of each length from ``length - distance`` to its own could have had
-as segments. Pairs that meet are verified by banded bit-parallel edit distance. Linked lines form
-classes (transitively); a class keeps its first line by (doc_id, line number), all others go.
-
-Equal lines are one line to the join. Keys shared by so many lines that their pairs exceed HOT_PAIRS
-are not paired up at distance 1: their lines meet at their one-character deletions (two lines of equal
-length at the same deletion and place; a line and the deletions equal to it), which is linear in the
-text and loses no link. Lines below MIN_CHARS characters match exactly only, blank lines never.
-Lines are compared without white space at their ends.
-
-Defined results: null text has no lines; null identifiers come last in the order; repeated rows are
-documents of their own; an empty table gives an empty result; extra columns are ignored or carried.
+Two lines are near if their edit distance is at most what ``allowed`` grants the shorter one: nothing
+below LEAST characters, 1 from there, and t from 30 t^3 characters on (240, 810, 1920, ...), so that the
+keys of a line stay in proportion to its length. A line is cut into one segment more than it is allowed
+edits. The least number k for which the first k + 1 segments hold at most k edits marks a segment that
+stands unchanged in the other line, with k edits before it and the rest behind. So each line indexes its
+segments (by length, number and content) and probes the substrings that a line of its own or a smaller
+length could have had as segments, at places that leave the right lengths on both sides. Pairs that meet
+are verified by banded bit-parallel edit distance. Linked lines form classes (transitively); a class
+keeps its first line by (doc_id, line number), all others go.
+
+Equal lines are one line to the join. A key that more than HOT lines index is not paired up but split:
+the unmatched part of greatest length, with its share of the edits, is cut into segments again, and its
+key grows by one of them, until keys are rare or all that differs is as short as the edits granted for
+it; lines that share such a key are all near one another, and a star links them. Each such step keeps
+every near pair together under some key, at every distance.
+
+Lines are compared without white space at their ends; blank lines are no lines.
+
+Defined results: null text has no lines; null identifiers come last in the order; rows with equal
+identifiers are documents of their own, in the order of their texts' hashes; lines and texts of any
+length are compared whole; an empty table gives an empty result; extra columns are ignored or carried,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import may_be_in, nest, shared
+from .common import join_small, may_be_in, nest, shared
 from .components import connected
 
-DISTANCE = 1
-MIN_CHARS = 40
-HOT_PAIRS = 16_384
+#: Shorter lines match exactly only: an edit is more than a twentieth of them.
+LEAST, UNIT = 20, 30
+#: Keys that more lines index than this are split.
+HOT = 64
 _TRIM = " \t\r\x0b\x0c"
+#: Second hash of a line: chained to a constant as ``xxhash64(constant, line)`` does.
+_SALT = "line"
+_SALT_SEED = xxhash.xxh64_intdigest(_SALT.encode(), 42)
+_MASK = (1 << 64) - 1
+
+
+def allowed(length: int) -> int:
+    """Edits allowed between lines of which the shorter has ``length`` characters."""
+    if length < LEAST:
+        return 0
+    t = 1
+    while UNIT * (t + 1) ** 3 <= length:
+        t += 1
+    return t
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def segments(length: int, distance: int) -> list[tuple[int, int]]:
-    """(start, length) of the ``distance + 1`` nearly equal segments of a line."""
-    n = distance + 1
+def segments(length: int, edits: int) -> list[tuple[int, int]]:
+    """(start, length) of the ``edits + 1`` nearly equal segments of a line."""
+    n = edits + 1
     short, longer = length // n, length % n
     out, at = [], 0
     for i in range(n):
@@ -49,28 +75,89 @@ def segments(length: int, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, distance: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, size) of the substrings that a line of ``length`` looks up.
+#: Part of a line that is not matched yet: start, end, edits granted, length of its counterpart in the indexed line.
+Part = tuple[int, int, int, int]
 
-    For its own length the unshifted segments are left out: those are its index keys.
-    """
+
+def cuts(part: Part, index: bool) -> list[tuple[int, int, int, Part, Part]]:
+    """(segment, start, end, part before, part behind) of the substrings of a part that may be segments of its counterpart."""
+    start, end, edits, length = part
     out = []
-    for other in range(max(length - distance, 1), length + 1):
-        shift = length - other
-        for k, (p, size) in enumerate(segments(other, distance)):
-            low = max(0, p - k, p + shift - (distance - k))
-            high = min(length - size, p + k, p + shift + (distance - k))
-            out += [(other, k, a, size) for a in range(low, high + 1) if shift or a != p]
+    for k, (p, size) in enumerate(segments(length, edits)):
+        for d in (0,) if index else range(-k, k + 1):
+            q = start + p + d
+            behind = length - p - size
+            if start <= q and q + size <= end and abs(end - q - size - behind) <= edits - k:
+                out.append((k, q, q + size, (start, q, k, p), (q + size, end, edits - k, behind)))
     return out
 
 
-def line_keys(line: str, raw: bytes, distance: int) -> tuple[list[int], list[int]]:
+@lru_cache(maxsize=8192)
+def first_cuts(length: int, limit: Callable[[int], int]) -> tuple[list, list]:
+    """Cuts of a line as index and as probe, with the indexed length before each.
+
+    For its own length the unshifted segments are left out of the probes: those are its index keys.
+    """
+    own = [(length, *c) for c in cuts((0, length, limit(length), length), True)]
+    seek = []
+    for other in range(max(length - limit(length), 1), length + 1):
+        if length - other <= limit(other) > 0:
+            seek += [(other, *c) for c in cuts((0, length, limit(other), other), False)]
+    unshifted = set(own)
+    return own, [c for c in seek if c not in unshifted]
+
+
+@lru_cache(maxsize=8192)
+def _first_places(length: int, limit: Callable[[int], int]) -> tuple[list, list]:
+    return tuple([(m * 4096 + k, a, b) for m, k, a, b, *_ in cuts_] for cuts_ in first_cuts(length, limit))
+
+
+def line_keys(line: str, raw: bytes, limit: Callable[[int], int]) -> tuple[list[int], list[int]]:
     """Index and probe keys of a line: hashes of (length, segment, content)."""
-    n, h = len(line), xxhash.xxh64_intdigest
-    cut = (lambda a, b: raw[a:b]) if len(raw) == n else (lambda a, b: line[a:b].encode())
-    own = [_signed(h(cut(a, a + s), n * 16 + k)) for k, (a, s) in enumerate(segments(n, distance))]
-    seek = [_signed(h(cut(a, a + s), m * 16 + k)) for m, k, a, s in probes(n, distance)]
-    return own, seek
+    h = xxhash.xxh64_intdigest
+    cut = (lambda a, b: raw[a:b]) if len(raw) == len(line) else (lambda a, b: line[a:b].encode())
+    return tuple([_signed(h(cut(a, b), seed)) for seed, a, b in places] for places in _first_places(len(line), limit))
+
+
+def split_key(line: str, index: bool, key: int, parts: list[Part]) -> list[tuple[int, list[Part]]]:
+    """Longer keys that stand for ``key``, with the parts they leave open; near lines share one of them.
+
+    A part whose counterpart is no longer than its edits is closed where it is as short itself (all such
+    are near). Else it holds an unchanged character: the first one costs as many edits as the longer side
+    has characters before it.
+    """
+    i = max(range(len(parts)), key=lambda j: parts[j][3])
+    start, end, edits, length = parts[i]
+    before, behind, out = parts[:i], parts[i + 1 :], []
+
+    def grown(what: str, a: int, b: int) -> int:
+        return xxhash.xxh64_intdigest(f"{what}:{line[a:b]}".encode(), key & _MASK)
+
+    def emit(new: int, left: list[Part]) -> None:
+        for a, b, n, m in left:
+            if not n:  # no edits left: equal, or not near
+                if b - a != m:
+                    return
+                new = xxhash.xxh64_intdigest(line[a:b].encode(), new)
+        out.append((_signed(new), [*before, *(p for p in left if p[2]), *behind]))
+
+    if length > edits:
+        for k, a, b, left, right in cuts(parts[i], index):
+            emit(grown(f"s{k}", a, b), [left, right])
+        return out
+    if index or end - start <= edits:
+        emit(grown("closed", 0, 0), [])
+    if index:
+        for x in range(length):
+            for cost in range(x, edits + 1):
+                emit(grown(f"c{x}.{cost}", start + x, start + x + 1), [(start + x + 1, end, edits - cost, length - x - 1)])
+    elif end - start > edits:
+        for x in range(length):
+            for y in range(end - start):
+                cost = max(x, y)
+                if cost <= edits and abs((end - start - y - 1) - (length - x - 1)) <= edits - cost:
+                    emit(grown(f"c{x}.{cost}", start + y, start + y + 1), [(start + y + 1, end, edits - cost, length - x - 1)])
+    return out
 
 
 def within(x: str, y: str, most: int) -> bool:
@@ -120,98 +207,133 @@ def within(x: str, y: str, most: int) -> bool:
 _LINE = pa.struct([("no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("own", pa.list_(pa.int64())), ("seek", pa.list_(pa.int64()))])
 
 
-def _splitter(distance: int, least: int):
+def _splitter(limit: Callable[[int], int]):
     keys = T.ArrayType(T.LongType())
     kind = T.StructType().add("no", "long").add("a", "long").add("b", "long").add("own", keys).add("seek", keys)
 
     @F.arrow_udf(T.ArrayType(kind))
     def split(text: pa.Array) -> pa.Array:
-        out = []
+        out, h = [], xxhash.xxh64_intdigest
         for t in text.cast(pa.large_binary()):
             found = []
             for no, raw in enumerate((t.as_py() or b"").split(b"\n")):
                 raw = raw.strip()
                 if raw:
-                    own, seek = [], []
-                    if len(raw) >= least and len(line := raw.decode()) >= least:
-                        own, seek = line_keys(line, raw, distance)
-                    found.append({"no": no, "a": _signed(xxhash.xxh64_intdigest(raw, 42)), "b": _signed(xxhash.xxh3_64_intdigest(raw)), "own": own, "seek": seek})
+                    line = raw.decode()
+                    own, seek = line_keys(line, raw, limit) if limit(len(line)) else ([], [])
+                    found.append({"no": no, "a": _signed(h(raw, 42)), "b": _signed(h(raw, _SALT_SEED)), "own": own, "seek": seek})
             out.append(found)
         return pa.array(out, pa.list_(_LINE))
 
     return split
 
 
-def _verifier(distance: int):
+def _verifier(limit: Callable[[int], int]):
     @F.arrow_udf(T.BooleanType())
     def verified(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([within(a.as_py(), b.as_py(), distance) for a, b in zip(x, y)], pa.bool_())
+        pairs = zip(x.to_pylist(), y.to_pylist())
+        return pa.array([within(a, b, limit(min(len(a), len(b)))) for a, b in pairs], pa.bool_())
 
     return verified
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("v", "long").add("p", "long")))
-def _deletions(line: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-    """(hash, -1) of the line, and of each one-character deletion in the halves asked for its hash and place."""
-    out = []
-    for x, in_left, in_right in zip(line.to_pylist(), left.to_pylist(), right.to_pylist()):
-        h, mid = xxhash.xxh64_intdigest, (len(x) - 1) // 2
-        places = range(0 if in_left else mid, len(x) if in_right else mid + 1)
-        out.append([{"v": _signed(h(x)), "p": -1}] + [{"v": _signed(h(x[:p] + x[p + 1 :])), "p": p} for p in places])
-    return pa.array(out, pa.list_(pa.struct([("v", pa.int64()), ("p", pa.int64())])))
+def _opener(limit: Callable[[int], int]):
+    """Parts that a first key leaves open, by its place among the line's keys."""
 
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def opened(line: pa.Array, index: pa.Array, place: pa.Array) -> pa.Array:
+        out = []
+        for x, i, at in zip(line.to_pylist(), index.to_pylist(), place.to_pylist()):
+            left, right = first_cuts(len(x), limit)[0 if i else 1][at][-2:]
+            out.append([n for p in (left, right) if p[2] for n in p])
+        return pa.array(out, pa.list_(pa.int64()))
 
-def _stars(lines: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``lines`` (lid, line, left, right) that connect the lines at distance 1.
+    return opened
 
-    A line that shares its first half with a crowd can differ from it on the right only, and so on.
-    """
-    near = shared(lines.select("lid", F.explode(_deletions("line", "left", "right")).alias("d")).select("lid", "d.*"), "line-deletions")
-    swap = near.where("p >= 0")
-    first = swap.groupBy("v", "p").agg(F.min("lid").alias("x"), F.max("lid").alias("z")).where("x < z").drop("z")
-    swapped = swap.join(first, ["v", "p"]).where("x < lid").select("x", F.col("lid").alias("y"))
-    added = near.where("p < 0").select("v", F.col("lid").alias("x")).join(swap.select("v", F.col("lid").alias("y")), "v").where("x <> y").select("x", "y")
-    return swapped.unionByName(added).distinct()
 
-
-def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE, least: int = MIN_CHARS, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+@F.arrow_udf(T.ArrayType(T.StructType().add("key", "long").add("parts", T.ArrayType(T.LongType()))))
+def _split_keys(line: pa.Array, index: pa.Array, key: pa.Array, parts: pa.Array) -> pa.Array:
+    out = []
+    for x, i, k, p in zip(line.to_pylist(), index.to_pylist(), key.to_pylist(), parts.to_pylist()):
+        found = split_key(x, i, k, [tuple(p[j : j + 4]) for j in range(0, len(p), 4)])
+        out.append([{"key": n, "parts": [v for q in left for v in q]} for n, left in found])
+    return pa.array(out, pa.list_(pa.struct([("key", pa.int64()), ("parts", pa.list_(pa.int64()))])))
+
+
+def _crowded(index: DataFrame) -> tuple[DataFrame, int]:
+    """Keys (key) that more than HOT lines index, and their number."""
+    hot = shared(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "line-crowded")
+    return hot, hot.count()
+
+
+def _meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """Pairs (x, y) of lines of which one indexes a key that the other probes."""
+    pairs = index.select("key", F.col("lid").alias("x")).join(probe.select("key", F.col("lid").alias("y")), "key").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _resolve(crowd: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs that connect near lines among (lid, index, key, parts) of crowded keys, by splitting the keys."""
+    found = None
+    add = lambda pairs: pairs if found is None else found.unionByName(pairs)
+    while not crowd.isEmpty():
+        rows = crowd.join(texts, "lid").select("lid", "index", F.explode(_split_keys("line", "index", "key", "parts")).alias("c")).select("lid", "index", "c.key", "c.parts")
+        rows = shared(rows.distinct(), "line-split")
+        hot, n = _crowded(rows.where("index"))
+        few = join_small(rows, hot, "key", "left_anti", n)
+        found = add(shared(_meet(few.where("index"), few.where("not index")).distinct(), "line-split-pairs"))
+        if not n:
+            break
+        many = shared(join_small(rows, hot, "key", "left_semi", n), "line-split-crowd")
+        alike = many.where(F.size("parts") == 0)  # nothing is open: all near one another
+        least = alike.groupBy("key").agg(F.min("lid").alias("x"))
+        found = add(alike.join(least, "key").where("x < lid").select("x", F.col("lid").alias("y")).distinct())
+        crowd = many.where(F.size("parts") > 0)
+    return found
+
+
+def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: Callable[[int], int] = allowed, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, lines): documents with id, at[, row]; lines with at, no, lid, first_at, first_no, near.
 
     (first_at, first_no) is the line its class keeps; ``near`` says that it is another text.
     """
-    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("at"), _splitter(distance, least)(F.col(f"`{text_col}`").cast("string")).alias("lines")]
+    text = F.col(f"`{text_col}`").cast("string")
+    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("at"), _splitter(limit)(text).alias("lines")]
     split = shared(docs.select(*cols, *([nest(docs).alias("row")] if carry else [])), "line-docs")
-    flat = split.select("id", "at", F.explode("lines").alias("l"))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "at", F.col("l.no").alias("no"), F.col("l.own").alias("own"), F.col("l.seek").alias("seek"))
+    flat = split.select("id", "hash", "at", F.explode("lines").alias("l"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at", F.col("l.no").alias("no"), F.col("l.own").alias("own"), F.col("l.seek").alias("seek"))
     uniq = flat.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.min(rank).alias("first"))
     uniq = shared(uniq.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
 
-    own = uniq.select("lid", F.posexplode("first.own").alias("part", "key"), F.lit(0).cast("tinyint").alias("kind"))
-    seek = uniq.select("lid", F.posexplode("first.seek").alias("part", "key"), F.lit(1).cast("tinyint").alias("kind"))
-    w = Window.partitionBy("key")
-    sized = own.unionByName(seek).withColumns({"n": F.count("*").over(w), "indexed": F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w)})
-    met = shared(sized.where("n > 1 and indexed > 0").select("key", "lid", "kind", "part", (F.col("n") * F.col("indexed")).alias("pairs")), "line-keys")
-    hot = F.col("pairs") > HOT_PAIRS if distance == 1 else F.lit(False)
-    few = met.where(~hot)
-    index = few.where("kind = 0").select("key", F.col("lid").alias("x"))
-    pairs = index.join(few.select("key", "kind", F.col("lid").alias("y")), "key").where("x <> y and (kind = 1 or x < y)")
-    pairs = shared(pairs.select("x", "y").distinct(), "line-pairs")
-
-    # Texts of the lines concerned, from the documents, found by hash and told apart by both.
-    crowd = met.where(hot).groupBy("lid").agg(F.max(F.col("part") == 1).alias("left"), F.max(F.col("part") == 0).alias("right"))  # at distance 1, key i is of segment i
-    crowd = shared(crowd, "line-crowd")
-    wanted = pairs.select(F.col("x").alias("lid")).unionByName(pairs.select(F.col("y").alias("lid"))).unionByName(crowd.select("lid")).distinct()
-    wanted = shared(wanted.join(uniq.select("lid", "a", F.col("first.at").alias("first_at"), F.col("first.no").alias("first_no")), "lid"), "line-wanted")
-    line = F.explode(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n"))
-    texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where(F.length("line") >= least).select("line", F.xxhash64("line").alias("a"))
-    texts = may_be_in(texts, wanted, "a").join(wanted.select("lid", "a"), "a").groupBy("lid").agg(F.min("line").alias("line"))
+    own = uniq.select("lid", F.posexplode("first.own").alias("place", "key"))
+    seek = uniq.select("lid", F.posexplode("first.seek").alias("place", "key"))
+    hot, n_hot = _crowded(own)
+    rare = lambda keys: join_small(keys, hot, "key", "left_anti", n_hot) if n_hot else keys
+    index = rare(own).select("key", "lid")
+    pairs = shared(_meet(index, rare(seek).select("key", "lid").unionByName(index)).distinct(), "line-pairs")
+    wanted = pairs.select(F.col("x").alias("lid")).unionByName(pairs.select(F.col("y").alias("lid")))
+    if n_hot:
+        crowded = [join_small(keys, hot, "key", "left_semi", n_hot).withColumn("index", F.lit(i)) for keys, i in ((own, True), (seek, False))]
+        crowd = shared(crowded[0].unionByName(crowded[1]), "line-crowd")
+        wanted = wanted.unionByName(crowd.select("lid"))
+
+    # Texts of the lines concerned, from the documents, found by both hashes.
+    wanted = shared(wanted.distinct().join(uniq.select("lid", "a", "b"), "lid"), "line-wanted")
+    line = F.explode(F.split(F.coalesce(text, F.lit("")), "\n"))
+    texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where("line <> ''").select("line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(_SALT), "line").alias("b"))
+    texts = may_be_in(texts, wanted, "a").join(wanted, ["a", "b"]).groupBy("lid").agg(F.min("line").alias("line"))
     texts = shared(texts, "line-texts")
 
-    pairs = pairs.unionByName(_stars(texts.join(crowd, "lid"))) if distance == 1 and not crowd.isEmpty() else pairs
+    if n_hot:
+        opened = crowd.join(texts, "lid").withColumn("parts", _opener(limit)("line", "index", "place")).select("lid", "index", "key", "parts")
+        # lines of equal length meet as index and probe of the same key
+        opened = shared(opened.unionByName(opened.where("index").withColumn("index", F.lit(False))), "line-open")
+        more = _resolve(opened, texts)
+        pairs = pairs if more is None else pairs.unionByName(more).distinct()
     both = pairs.join(texts.select(F.col("lid").alias("x"), F.col("line").alias("p")), "x").join(texts.select(F.col("lid").alias("y"), F.col("line").alias("q")), "y")
-    edges = both.where(_verifier(distance)("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = both.where(_verifier(limit)("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = connected(edges)
-    place = F.struct("first.none", "first.id", "first.at", "first.no")
+    place = F.struct("first.none", "first.id", "first.hash", "first.at", "first.no")
     rooted = uniq.select("a", "b", "lid", place.alias("own")).join(roots.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     lead = rooted.where("root <> lid").select("root").distinct()  # classes of more than one text
     least_of = rooted.join(lead, "root", "left_semi").groupBy("root").agg(F.min("own").alias("kept"))
@@ -220,9 +342,9 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return split, lines.select("at", "no", "root", F.col("kept.at").alias("first_at"), F.col("kept.no").alias("first_no"), (F.col("kept") != F.col("own")).alias("near"))
 
 
-def duplicate_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE, least: int = MIN_CHARS, carry: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: Callable[[int], int] = allowed, carry: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines (with text), n_dropped, n_near and ``dropped``, the numbers of dropped lines."""
-    split, lines = line_classes(docs, text_col, id_col, distance, least, carry)
+    split, lines = line_classes(docs, text_col, id_col, limit, carry)
     drop = lines.where("at <> first_at or no <> first_no")
     found = drop.groupBy("at").agg(F.array_sort(F.collect_list("no")).alias("dropped"), F.sum(F.col("near").cast("long")).alias("n_near"))
     out = split.select("id", "at", F.size("lines").cast("long").alias("n_lines"), *(["row"] if carry else [])).join(found, "at", "left")

@@ -69,15 +69,26 @@ def edit_distance(x: str, y: str) -> int:
     return row[-1]
 
 
-def dropped_lines(docs, distance: int, least: int) -> dict:
+def common(a: str, b: str, edits: int) -> bool:
+    """Cheap bound: each edit changes at most two counts of characters."""
+    x, y = Counter(a), Counter(b)
+    return sum(((x - y) + (y - x)).values()) <= 2 * edits
+
+
+def dropped_lines(docs, limit) -> dict:
     """{doc_id: dropped line numbers} for unique doc ids."""
     where = defaultdict(list)
     for i, t in sorted(docs):
         for no, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\r\x0b\x0c"):
                 where[line.strip(" \t\r\x0b\x0c")].append((i, no))
-    long = [x for x in where if len(x) >= least]
-    pairs = [(a, b) for a, b in combinations(long, 2) if abs(len(a) - len(b)) <= distance and edit_distance(a, b) <= distance]
+    long, pairs = sorted((x for x in where if limit(len(x))), key=len), []
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
+            if len(b) - len(a) > limit(len(a)):
+                break
+            if common(a, b, limit(len(a))) and edit_distance(a, b) <= limit(len(a)):
+                pairs.append((a, b))
     of = roots(where, pairs)
     first = {}
     for line, places in where.items():

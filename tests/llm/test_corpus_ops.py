@@ -486,23 +486,6 @@ def _line_docs(rng, n):
     return [(i, "\n".join(rng.choice(["", line(), line()]) for _ in range(rng.randint(0, 7)))) for i in range(n)]
 
 
-@pytest.mark.parametrize(("distance", "hot"), [(1, 10**9), (1, 2), (2, 10**9)])
-def test_line_dedup(spark, monkeypatch, distance, hot):
-    monkeypatch.setattr(line_dedup, "HOT_PAIRS", hot)
-    data = _line_docs(random.Random(distance * 7), 60)
-    df = spark.createDataFrame([(i, t, "e", "s", 0) for i, t in data], SCHEMA)
-    got = {r.doc_id: list(r.dropped) for r in line_dedup.duplicate_lines(df, distance=distance, least=6).collect()}
-    assert got == brute.dropped_lines(data, distance, 6)
-    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, distance=distance, least=6).collect()}
-    assert out == {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in got[i]) for i, t in data}
-
-
-def test_line_dedup_documents(docs, texts):
-    part = docs.where("doc_id < 80")
-    got = {r.doc_id: list(r.dropped) for r in line_dedup.duplicate_lines(part).collect()}
-    assert got == brute.dropped_lines([x for x in texts if x[0] < 80], 1, 40)
-
-
 def test_line_dedup_odd_rows(odd, no_docs):
     got = rows(line_dedup.query(odd))
     assert len(got) == odd.count() and {r["n_lines"] for r in got if r["doc_id"] in (1, 2, 6)} == {0}
