@@ -2,15 +2,18 @@
 
 Every text gets a 64-bit fingerprint; fingerprints link at ``distance`` or fewer differing bits.
 Distinct fingerprints are split into ``distance + 3`` blocks. Two that link differ in at most
-``distance`` blocks, so they agree in some 3 blocks: each triple of blocks is a join key of about
-38 bits, selective at any corpus size, and every pair that meets is verified by its Hamming distance
-within the join. A key that more than HOT fingerprints share is not paired up: its members meet at
-the fingerprints one flip away (two link at distance 2 exactly if they share such a neighbour),
-which is linear in the members and loses no link.
-
-Defined results: null or wordless text has fingerprint 0 and links like any other; null identifiers
-never name a component unless all of it is null; repeated rows get equal results; an empty table
-gives an empty result.
+``distance`` blocks, so they agree in some 3 blocks: each triple of blocks is a join key (38 bits at
+distance 2, 32 at 3, 27 at 4), and every pair that meets is verified by its Hamming distance within the
+join. A key that more than HOT fingerprints share is not paired up: its members meet at the
+fingerprints half the distance away. At an even distance two link exactly if they share such a hub; at
+an odd one exactly if one of them is nearer to it by a bit. A star around a nearer member links them,
+which is linear in the members and loses no link. Keys of larger distances are less selective and their
+hubs more (27 a member at distance 2, 529 at 3, 704 at 4), so the distance should stay small.
+
+Defined results: null or wordless text has fingerprint 0 and links like any other; texts of any length
+are read whole, in bounded memory beside the text; null identifiers never name a component unless all
+of it is null; repeated rows get equal results; an empty table gives an empty result; extra columns are
+ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,11 +55,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprints(text: pa.Array) -> pa.Array:
-    raw = text.cast(pa.large_binary())
-    found = np.fromiter((fingerprint(t.as_py() or b"") for t in raw), np.uint64, len(raw))
-    return pa.array(found.view(np.int64))
+def _fingerprints(width: int):
+    @F.arrow_udf(T.LongType())
+    def run(text: pa.Array) -> pa.Array:
+        raw = text.cast(pa.large_binary())
+        found = np.fromiter((fingerprint(t.as_py() or b"", width) for t in raw), np.uint64, len(raw))
+        return pa.array(found.view(np.int64))
+
+    return run
 
 
 def blocks(distance: int) -> list[int]:
@@ -73,11 +79,9 @@ def _signed(x: int) -> int:
 def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly those within ``distance``.
 
-    Pairs of a hot key are given as stars of true links around the smallest fingerprint of each
-    shared neighbour, enough for components; other pairs are listed one by one.
+    Pairs of a hot key are given as stars of true links around a fingerprint near each
+    shared hub, enough for components; other pairs are listed one by one.
     """
-    if distance != 2:
-        raise ValueError("stars over one-bit neighbours are exact for distance 2")
     masks = [_signed(sum(m)) for m in combinations(blocks(distance), 3)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", keys.alias("k")).select("fp", "k.no", "k.key")
@@ -87,21 +91,23 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["no", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
-    bits = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)])
-    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("no") + 1)
-    flips = F.transform(F.filter(bits, lambda b: b.bitwiseAND(mask) == 0), lambda b: F.col("fp").bitwiseXOR(b))
-    hubs = met.where(F.col("n") > HOT).select("no", "key", "fp", F.explode(F.concat(F.array("fp"), flips)).alias("hub"))
-    least = hubs.groupBy("no", "key", "hub").agg(F.min("fp").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = hubs.join(least, ["no", "key", "hub"]).where("a < fp").select("a", F.col("fp").alias("b"))
+    # Flips of the bits outside a key by half the distance: their number follows from the distance alone.
+    near_by, far_by = distance // 2, (distance + 1) // 2
+    free = [[1 << i for i in range(BITS) if not m >> i & 1] for m in (sum(c) for c in combinations(blocks(distance), 3))]
+    flips = [(no, _signed(sum(f)), n <= near_by) for no, some in enumerate(free) for n in range(far_by + 1) for f in combinations(some, n)]
+    flips = F.broadcast(prints.sparkSession.createDataFrame(flips, "no int, flip long, nearer boolean"))
+    hubs = met.where(F.col("n") > HOT).join(flips, "no").select("no", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), "nearer")
+    least = hubs.groupBy("no", "key", "hub").agg(F.min(F.when(F.col("nearer"), F.col("fp"))).alias("a"), F.count("*").alias("m")).where("m > 1 and a is not null").drop("m")
+    stars = hubs.join(least, ["no", "key", "hub"]).where("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 2, carry: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 2, width: int = 3, carry: bool = False) -> DataFrame:
     """Each document with id, fp (long), component_id (smallest id of its component) and ``keep``.
 
     ``keep`` marks one row of each component. With ``carry`` the row is kept as struct ``row``.
     """
-    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), _fingerprints(F.col(f"`{text_col}`").cast("string")).alias("fp"), F.monotonically_increasing_id().alias("at")]
+    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), _fingerprints(width)(F.col(f"`{text_col}`").cast("string")).alias("fp"), F.monotonically_increasing_id().alias("at")]
     if carry:
         cols.append(nest(docs).alias("row"))
     printed = shared(docs.select(*cols), "simhash-prints")
@@ -117,9 +123,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return printed.join(found, "fp").select("id", "fp", "component_id", (F.col("at") == F.col("kept_at")).alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 2, width: int = 3) -> DataFrame:
     """One row of each component of near-duplicates, with the columns of ``docs``."""
-    return near_duplicates(docs, text_col, id_col, distance, carry=True).select("row.*")
+    return near_duplicates(docs, text_col, id_col, distance, width, carry=True).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -417,19 +417,20 @@ def test_simhash_components(docs, texts):
     assert got == brute.simhash_components(texts)
 
 
-def test_simhash_hot_keys(spark, monkeypatch):
-    """Dense and sparse clusters give the same components pairwise and at shared neighbours."""
-    rng = random.Random(2)
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+def test_simhash_hot_keys(spark, monkeypatch, distance):
+    """Dense and sparse clusters give the same components pairwise and at shared hubs, at every distance."""
+    rng = random.Random(distance)
     centre = rng.getrandbits(64)
-    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(250)} | {rng.getrandbits(64) for _ in range(50)}
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3 * distance))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
     signed = [simhash._signed(p) for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    edges = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if (a ^ b).bit_count() <= 2 or ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
-    want = brute.roots(signed, edges)
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = brute.roots(signed, [(a, b) for i, a in enumerate(signed) for b in signed[:i] if apart(a, b) <= distance])
     for hot in (4, 10**6):
         monkeypatch.setattr(simhash, "HOT", hot)
-        found = {(r.a, r.b) for r in simhash.links(df).collect()}
-        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in found)
+        found = {(r.a, r.b) for r in simhash.links(df, distance).collect()}
+        assert all(a < b and apart(a, b) <= distance for a, b in found)
         assert brute.roots(signed, found) == want
 
 
