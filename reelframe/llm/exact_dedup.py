@@ -3,14 +3,15 @@
 Sampled splitters range-partition the normalised text (``repartitionByRange`` over a byte prefix and
 a hash of the rest, so that splitters stay short), an external sort within each partition places
 equal texts next to each other, and one pass compares every text with
-its neighbour in full. The identifier is the last sort key, so a group of copies of any size is
-spread over as many partitions as it needs; the runs that touch a partition's edge are closed by a
-second, tiny aggregation over at most two rows a partition, keyed by the full text.
-
-Defined results for odd input: null text counts as empty; null identifiers sort first (they stay
-only where no other row of the group has one, and ``keep_id`` is then null); of rows with equal
-text and identifier one stays; an empty table gives an empty result; other columns are carried
-untouched, whatever their names.
+its neighbour in full. The identifier and the row's position are the last splitters, so a group of
+copies of any size, equal or null identifiers included, is spread over as many partitions as it needs.
+Runs are cut after CHUNK rows; those that touch a cut or a partition's edge are closed by a second,
+small aggregation over at most two rows a partition and one for each CHUNK rows, keyed by the full text.
+
+Defined results for odd input: null text counts as empty; texts of any length are compared whole; null
+identifiers sort first (they stay only where no other row of the group has one, and ``keep_id`` is then
+null); of rows with equal text and identifier one stays; an empty table gives an empty result; other
+columns are carried untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import nest, shared
+from .common import join_small, nest, shared
+
+#: Rows of a run that a task holds (their identifiers) before it cuts the run.
+CHUNK = 100_000
 
 
 @F.arrow_udf(T.StringType())
@@ -41,8 +45,9 @@ def _runs(largest: bool, carry: bool, schema: pa.Schema):
     """Neighbour comparison over one sorted partition.
 
     Emits the survivor of each run (``carry``: with its whole row) or else every row, with the run's
-    surviving id and size and, for the first and the last run of the partition, an edge number; the
-    last row of an edge run also has the text. Of a run only the ids and one row are held.
+    surviving id and size and, for the first and the last run of the partition and the parts of one
+    that was cut, an edge number; the last row of an edge run also has the text. Of a run only the ids
+    and one row are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,16 +57,16 @@ def _runs(largest: bool, carry: bool, schema: pa.Schema):
         text: bytes | None = None
         ids: list[int | None] = []
         row: pa.Array | None = None
-        first = True
+        first, cut, edges = True, False, 0
         out: dict[str, list] = {f.name: [] for f in schema if f.name != "row"}
         rows: list[pa.Array] = []
 
-        def close(last: bool) -> None:
-            nonlocal first
+        def close(last: bool, more: bool = False) -> None:
+            nonlocal first, cut, edges
             # sorted ascending, nulls first: the survivor is the last row, or the first that has an id
             nulls = next((i for i, x in enumerate(ids) if x is not None), len(ids))
             at = len(ids) - 1 if largest or nulls == len(ids) else nulls
-            edge = part * 2 + (0 if first else 1) if first or last else None
+            edge = (part << 32) + edges if first or last or cut or more else None
             shown = [ids[at]] if carry else ids
             n = len(shown)
             out["id"] += shown
@@ -73,7 +78,7 @@ def _runs(largest: bool, carry: bool, schema: pa.Schema):
             out["edge_text"] += [None] * (n - 1) + [text.decode() if edge is not None else None]
             if carry:
                 rows.append(row)
-            first = False
+            first, cut, edges = False, more, edges + (edge is not None)
 
         def flush() -> pa.RecordBatch:
             arrays = [pa.array(v, schema.field(k).type) for k, v in out.items()]
@@ -94,6 +99,9 @@ def _runs(largest: bool, carry: bool, schema: pa.Schema):
                     if ids:
                         close(False)
                     text, ids, row = t, [], None
+                elif len(ids) >= CHUNK:
+                    close(False, more=True)
+                    ids, row = [], None
                 ids.append(keys[i])
                 if carry and (largest or row is None or (keys[i] is not None and ids[-2:-1] == [None])):
                     row = whole.slice(i, 1)
@@ -121,7 +129,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     # The splitters are short: a prefix of the bytes, then a hash of all of them, then the identifier.
     place = [F.substring("norm", 1, 64), F.xxhash64("norm")]
     ordered = docs.select(*cols).withColumns({"prefix": place[0], "hash": place[1]})
-    ordered = ordered.repartitionByRange("prefix", "hash", "id").sortWithinPartitions("prefix", "hash", "norm", "id").drop("prefix", "hash")
+    ordered = ordered.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("prefix", "hash", "id", "at").drop("at").sortWithinPartitions("prefix", "hash", "norm", "id").drop("prefix", "hash")
     fields = [("id", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("stays", pa.bool_()), ("sha256", pa.string()), ("edge", pa.int64()), ("edge_text", pa.string())]
     sql = "id long, keep_id long, group_size long, stays boolean, sha256 string, edge long, edge_text string"
     schema = T._parse_datatype_string(sql)
@@ -130,9 +138,9 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         fields.append(("row", pa.null()))
     runs = shared(ordered.mapInArrow(_runs(keep == "max", carry, pa.schema(fields)), schema), "exact-runs")
 
-    # At most two edge runs a partition: which of them are the same text?
+    # Which of the edge runs are the same text?
     best = F.max if keep == "max" else F.min
-    size = runs.where("edge is not null").groupBy("edge").agg(F.max("edge_text").alias("edge_text"), F.count("*").alias("n"), best("keep_id").alias("k"))
+    size = runs.where("edge is not null").groupBy("edge").agg(F.max("edge_text").alias("edge_text"), F.max("group_size").alias("n"), best("keep_id").alias("k"))
     groups = size.groupBy("edge_text").agg(F.sum("n").alias("total"), best("k").alias("all_keep"), F.collect_list(F.struct("edge", "k")).alias("members"))
     # the survivor's run: the first edge that holds the surviving id (nulls: the last edge)
     owner = F.coalesce(
@@ -140,8 +148,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         F.array_max(F.transform("members", lambda m: m["edge"])),
     )
     closed = groups.select("total", "all_keep", owner.alias("owner"), F.explode("members").alias("m")).select(F.col("m.edge").alias("edge"), "total", "all_keep", "owner")
-    # two rows a partition at most: its size is bound by the number of partitions
-    out = runs.join(F.broadcast(closed), "edge", "left")
+    out = join_small(runs, shared(closed, "exact-edges"), "edge")
     met = F.col("total").isNotNull()
     cols = [
         "id",

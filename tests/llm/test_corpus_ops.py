@@ -355,6 +355,24 @@ def test_exact_dedup_runs_across_partitions(spark):
         assert sorted(r.doc_id for r in stay.collect()) == sorted(pick(x) for x in want.values()) and stay.columns == df.columns
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 10**6])
+def test_exact_dedup_cut_runs(spark, monkeypatch, chunk):
+    """Runs are cut within partitions; equal and null identifiers are spread too."""
+    monkeypatch.setattr(exact_dedup, "CHUNK", chunk)
+    data = [(None if i % 5 == 0 else i // 3, "same" if i % 2 else f"t{i % 9}", "e", "s", i) for i in range(600)] + [(None, "no id at all", "e", "s", i) for i in range(300)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(6)
+    size = Counter(t for _, t, *_ in data)
+    for keep, pick in (("max", max), ("min", min)):
+        want = {t: pick([i for i, x, *_ in data if x == t and i is not None], default=None) for t in size}
+        got = exact_dedup.exact_duplicates(df, keep=keep)
+        by = {h: (k, n) for h, k, n in got.select("sha256", "keep_id", "group_size").distinct().collect()}
+        import hashlib
+
+        assert by == {hashlib.sha256(t.encode()).hexdigest(): (want[t], size[t]) for t in size}
+        assert got.count() == len(data) and got.where("kept").count() == len(size)
+        assert sorted((r.text, r.doc_id) for r in exact_dedup.drop_exact_duplicates(df, keep=keep).collect()) == sorted(want.items())
+
+
 def test_exact_dedup_odd_rows(odd, no_docs):
     got = rows(exact_dedup.query(odd))
     assert len(got) == odd.count() and sum(r["kept"] for r in got) == 6
