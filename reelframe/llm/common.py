@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +19,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+_HERE = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session wins. Where it is unset, a local master gets a
-    temporary folder (tests) and a cluster gets a folder in the warehouse, never a machine's own disk.
+    ``spark.checkpoint.dir`` of the session wins. Where it is unset, a local master gets a temporary
+    folder (tests) and a cluster a folder in its warehouse, unless that lies on each machine's own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
@@ -28,23 +34,56 @@ def shared_dir(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="reelframe-")
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelframe"
+            if base.startswith(("file:", "/")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there.
 
     A lost executor costs a re-read, not a recomputation, and non-deterministic columns are fixed.
-    The files go when the driver's JVM ends.
+    The files go when the enclosing ``freed`` block or else the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelframe-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    for block in getattr(_HERE, "blocks", [])[-1:]:
+        block.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._reelframe_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``shared`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._reelframe_path)
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``shared`` wrote within: for results that have been written elsewhere by then."""
+    blocks = _HERE.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path in blocks.pop():
+            remove(spark, path)
 
 
 def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, may_be_in, nest, shared
+from .common import free, join_small, may_be_in, nest, shared
 from .components import connected
 
 #: Shorter lines match exactly only: an edit is more than a twentieth of them.
@@ -283,8 +283,10 @@ def _resolve(crowd: DataFrame, texts: DataFrame) -> DataFrame | None:
         few = join_small(rows, hot, "key", "left_anti", n)
         found = add(shared(_meet(few.where("index"), few.where("not index")).distinct(), "line-split-pairs"))
         if not n:
+            free(rows)
             break
         many = shared(join_small(rows, hot, "key", "left_semi", n), "line-split-crowd")
+        free(rows, hot)
         alike = many.where(F.size("parts") == 0)  # nothing is open: all near one another
         least = alike.groupBy("key").agg(F.min("lid").alias("x"))
         found = add(alike.join(least, "key").where("x < lid").select("x", F.col("lid").alias("y")).distinct())

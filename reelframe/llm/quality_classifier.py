@@ -10,7 +10,7 @@ global ones decide.
 Documents without URLs use ``source`` as host and ``lang`` as path. The regression is fitted on at
 most FIT_ROWS labelled rows (the ones least by hash); everything else covers all rows.
 
-Defined results: null text is scored as empty text; null hosts and paths are groups of their own;
+Defined results: null text is scored as empty text; texts of any length are read whole; null hosts and paths are groups of their own;
 labels with a null id or quality are ignored, contradicting labels count as bad; with no label of
 either class every document is kept; repeated rows get equal results; an empty table gives an empty
 result; extra columns are ignored or carried, whatever their names.

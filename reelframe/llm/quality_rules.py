@@ -12,8 +12,9 @@ cutoff that helps is not applied.
 
 Defined results: null text has no words and fails the base rules; null strata form a stratum of their
 own; labels with a null id or null quality are ignored, and contradicting labels count as bad; labels
-may be missing altogether, then only base rules apply; repeated rows get equal results; an empty table
-gives an empty result; extra columns are ignored.
+may be missing altogether, then only base rules apply; repeated rows get equal results; texts of any
+length are read whole (equal windows of a text are told by a 64-bit hash); an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ RULES: dict[str, tuple[float, ...]] = {
 }
 
 
-def features(docs: DataFrame, text_col: str, id_col: str, stratum_col: str) -> DataFrame:
+def features(docs: DataFrame, text_col: str, id_col: str, stratum_col: str | None) -> DataFrame:
     """id, stratum, counts and ratios of every document; one row each."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"), text.alias("text"), words_array(text).alias("w"))
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.col(f"`{stratum_col}`").cast("string") if stratum_col else F.lit("all")).alias("stratum"), text.alias("text"), words_array(text).alias("w"))
     n = F.size("w")
     # a hash of each three-word window; 64 bits keep chance repeats within one text out
     gram = lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2))
@@ -127,8 +128,11 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("b.cutoff"))).alias(f"{r}_cut") for r in rules])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """Features, base verdict, verdict of each rule and ``kept`` for every document."""
+def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """Features, base verdict, verdict of each rule and ``kept`` for every document.
+
+    ``stratum_col`` None: all documents are one stratum.
+    """
     found = shared(features(docs, text_col, id_col, stratum_col), "rule-features")
     cuts = shared(thresholds(found, labels, risk, level), "rule-cutoffs").withColumnRenamed("stratum", "cut_stratum")
     out = join_small(found, cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")))
@@ -146,10 +150,20 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_rules(docs, labels)
 
 
+#: Risk of the query over one stratum: loose enough for cutoffs to be certified on a few hundred labels.
+POOLED_RISK = 0.25
+
+
+def pooled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same rules over one stratum at a higher risk, for small labelled sets."""
+    return quality_rules(docs, labels, stratum_col=None, risk=POOLED_RISK)
+
+
 _W = r"[^\x20\x09-\x0D]+"
 _CASES = ", ".join(f"('{r}', {c!r}::DOUBLE)" for r, cuts in RULES.items() for c in cuts)
-ORACLE_SQL = f"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+def oracle(stratum: str = "lang", risk: float = RISK) -> str:
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, {stratum} AS lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, lang, text, regexp_extract_all(text, '{_W}') AS w FROM t),
 g AS (SELECT rid, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT rid, count(DISTINCT i + d) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g), (VALUES (0), (1), (2)) AS v(d) WHERE c > 1 GROUP BY rid),
@@ -166,8 +180,8 @@ h AS (SELECT lang, quality >= 1 AS good, unnest([{", ".join(f"{{'rule': '{r}', '
 s AS (SELECT lang, c.rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb,
              count(*) FILTER (good AND u.x > cutoff) AS k, count(*) FILTER (NOT good AND u.x > cutoff) AS hit
       FROM h JOIN (VALUES {_CASES}) AS c(rule, cutoff) ON u.rule = c.rule GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * {RISK / len(RULES)!r} THEN 1.0 ELSE
-             (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({RISK / len(RULES)!r}) + (n - i) * ln(1 - {RISK / len(RULES)!r}))) FROM unnest(range(0, k + 1)) AS x(i)) END AS p,
+p AS (SELECT *, CASE WHEN k >= n * {risk / len(RULES)!r} THEN 1.0 ELSE
+             (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk / len(RULES)!r}) + (n - i) * ln(1 - {risk / len(RULES)!r}))) FROM unnest(range(0, k + 1)) AS x(i)) END AS p,
              hit / greatest(nb, 1) - k / greatest(n, 1) AS gain, (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM h) * {sum(map(len, RULES.values()))} AS m FROM s),
 c AS (SELECT lang, rule, cutoff, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, k, cutoff DESC) AS place FROM p WHERE p <= {LEVEL} / m AND gain > 0),
 v AS (SELECT f.*, {", ".join(f"coalesce({r} > (SELECT cutoff FROM c WHERE place = 1 AND rule = '{r}' AND c.lang IS NOT DISTINCT FROM f.lang), false) AS over_{r}" for r in RULES)} FROM f)
@@ -175,3 +189,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR {" OR ".join(f"over_{r}" for r in RULES)}) AS kept, {", ".join(f"over_{r}" for r in RULES)}
 FROM v
 """
+
+
+ORACLE_SQL = oracle()
+POOLED_SQL = oracle("'all'", POOLED_RISK)

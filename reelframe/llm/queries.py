@@ -17,6 +17,7 @@ def _over(query: Callable[..., DataFrame], *names: str) -> Callable[[SparkSessio
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": _over(token_counts.query, "documents"),
     "op2_quality_rules": _over(quality_rules.query, "documents", "labels"),
+    "quality_rules_pooled": _over(quality_rules.pooled, "documents", "labels"),
     "op3_packing": _over(packing.query, "documents"),
     "op4_mixing": _over(mixing.query, "documents"),
     "op5_exact_dedup": _over(exact_dedup.query, "documents"),
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "quality_rules_pooled": quality_rules.POOLED_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }
