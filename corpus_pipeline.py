@@ -1,4 +1,10 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Odd rows follow the operators' rules in every stage: null or empty texts are documents like others (the
+classifier scores them, then they are copies of one another), null identifiers come last in any choice,
+repeated rows are copies, an empty table passes through all stages, and extra columns are carried up to
+the last one. A stage's folder and its operator's tables are deleted once the next stage is written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm.common import shared_dir, table
+from reelframe.llm.common import freed, remove, shared_dir, table
 from reelframe.llm.exact_dedup import drop_exact_duplicates
 from reelframe.llm.mixing import mix
 from reelframe.llm.packing import pack
@@ -46,9 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/reelframe-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, f"{base}/{before}")
+        before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written by now
+    remove(spark, base)
+    return out
