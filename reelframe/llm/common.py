@@ -122,9 +122,13 @@ def may_be_in(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """
     place = F.pmod(F.col(key), F.lit(1 << FILTER_BITS))
     maps = keys.select(place.alias("_p")).groupBy(F.shiftright("_p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit(32767))).alias("_map"))
-    found = big.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).withColumn("_bit", F.col("_p").bitwiseAND(F.lit(32767)))
-    byte = F.conv(F.hex(F.substring("_map", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # eight bytes of a bitmap as a long, the last byte lowest
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("_map", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = shared(maps.select("_bucket", words.alias("_words")), "filter")
+    found = big.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).withColumn("_bit", F.col("_p").bitwiseAND(F.lit(32767)).cast("int"))
+    word = F.element_at("_words", F.shiftright("_bit", 6) + 1)
+    at = F.lit(56) - F.shiftright("_bit", 3).bitwiseAND(F.lit(7)) * 8 + F.col("_bit").bitwiseAND(F.lit(7))
+    hit = F.call_function("shiftright", word, at.cast("int")).bitwiseAND(F.lit(1)) == 1
     return found.join(F.broadcast(maps), "_bucket").where(hit).select(*big.columns)
 
 

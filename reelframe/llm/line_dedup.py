@@ -7,7 +7,8 @@ edits. The least number k for which the first k + 1 segments hold at most k edit
 stands unchanged in the other line, with k edits before it and the rest behind. So each line indexes its
 segments (by length, number and content) and probes the substrings that a line of its own or a smaller
 length could have had as segments, at places that leave the right lengths on both sides. Pairs that meet
-are verified by banded bit-parallel edit distance. Linked lines form classes (transitively); a class
+are told apart by sketches (parities of their counts of neighbouring characters, of which an edit
+changes four at most) and verified by banded bit-parallel edit distance. Linked lines form classes (transitively); a class
 keeps its first line by (doc_id, line number), all others go.
 
 Equal lines are one line to the join. A key that more than HOT lines index is not paired up but split:
@@ -29,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -204,24 +206,44 @@ def within(x: str, y: str, most: int) -> bool:
     return bool(reach[most] >> (len(y) - len(x) + most) & 1)
 
 
-_LINE = pa.struct([("no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("own", pa.list_(pa.int64())), ("seek", pa.list_(pa.int64()))])
+def sketches(text: str, places: list[tuple[int, int]]) -> list[int]:
+    """Parities of the counts of character pairs, hashed to 64 bits, of the stretches of a text (two characters or more)."""
+    if not places:
+        return []
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    pairs = (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(26)
+    ends = np.array([(a, b - 1) for a, b in places], np.int64).ravel()
+    bits = np.append(np.left_shift(np.uint64(1), pairs.astype(np.uint64)), np.uint64(0))
+    return np.bitwise_xor.reduceat(bits, ends)[::2].view(np.int64).tolist()
+
+
+_KEYS = [("own", pa.list_(pa.int64())), ("seek", pa.list_(pa.int64()))]
+_LINE = pa.struct([("no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.int64()), ("edits", pa.int32()), *_KEYS])
 
 
 def _splitter(limit: Callable[[int], int]):
     keys = T.ArrayType(T.LongType())
-    kind = T.StructType().add("no", "long").add("a", "long").add("b", "long").add("own", keys).add("seek", keys)
+    kind = T.StructType().add("no", "long").add("a", "long").add("b", "long").add("sketch", "long").add("edits", "integer").add("own", keys).add("seek", keys)
 
     @F.arrow_udf(T.ArrayType(kind))
     def split(text: pa.Array) -> pa.Array:
         out, h = [], xxhash.xxh64_intdigest
-        for t in text.cast(pa.large_binary()):
-            found = []
-            for no, raw in enumerate((t.as_py() or b"").split(b"\n")):
-                raw = raw.strip()
-                if raw:
-                    line = raw.decode()
-                    own, seek = line_keys(line, raw, limit) if limit(len(line)) else ([], [])
-                    found.append({"no": no, "a": _signed(h(raw, 42)), "b": _signed(h(raw, _SALT_SEED)), "own": own, "seek": seek})
+        for t in text:
+            found, near, places, at = [], [], [], 0
+            text = t.as_py() or ""
+            for no, part in enumerate(text.split("\n")):
+                line = part.strip(_TRIM)
+                if line:
+                    raw, edits = line.encode(), limit(len(line))
+                    own, seek = line_keys(line, raw, limit) if edits else ([], [])
+                    found.append({"no": no, "a": _signed(h(raw, 42)), "b": _signed(h(raw, _SALT_SEED)), "sketch": 0, "edits": edits, "own": own, "seek": seek})
+                    if edits:
+                        start = at + len(part) - len(part.lstrip(_TRIM))
+                        near.append(found[-1])
+                        places.append((start, start + len(line)))
+                at += len(part) + 1
+            for x, sketch in zip(near, sketches(text, places)):
+                x["sketch"] = sketch
             out.append(found)
         return pa.array(out, pa.list_(_LINE))
 
@@ -267,17 +289,20 @@ def _crowded(index: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _meet(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """Pairs (x, y) of lines of which one indexes a key that the other probes."""
-    pairs = index.select("key", F.col("lid").alias("x")).join(probe.select("key", F.col("lid").alias("y")), "key").where("x <> y")
+    """Pairs (x, y) of lines of which one indexes a key that the other probes, and whose sketches may be of near lines."""
+    index = index.select("key", F.col("lid").alias("x"), F.col("sketch").alias("p"), "edits")
+    pairs = index.join(probe.select("key", F.col("lid").alias("y"), F.col("sketch").alias("q")), "key")
+    pairs = pairs.where((F.col("x") != F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * F.col("edits")))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def _resolve(crowd: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Pairs that connect near lines among (lid, index, key, parts) of crowded keys, by splitting the keys."""
+    """Pairs that connect near lines among (lid, sketch, edits, index, key, parts) of crowded keys, by splitting the keys."""
     found = None
     add = lambda pairs: pairs if found is None else found.unionByName(pairs)
     while not crowd.isEmpty():
-        rows = crowd.join(texts, "lid").select("lid", "index", F.explode(_split_keys("line", "index", "key", "parts")).alias("c")).select("lid", "index", "c.key", "c.parts")
+        rows = crowd.join(texts, "lid").select("lid", "sketch", "edits", "index", F.explode(_split_keys("line", "index", "key", "parts")).alias("c"))
+        rows = rows.select("lid", "sketch", "edits", "index", "c.key", "c.parts")
         rows = shared(rows.distinct(), "line-split")
         hot, n = _crowded(rows.where("index"))
         few = join_small(rows, hot, "key", "left_anti", n)
@@ -303,16 +328,16 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     cols = [F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("at"), _splitter(limit)(text).alias("lines")]
     split = shared(docs.select(*cols, *([nest(docs).alias("row")] if carry else [])), "line-docs")
     flat = split.select("id", "hash", "at", F.explode("lines").alias("l"))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at", F.col("l.no").alias("no"), F.col("l.own").alias("own"), F.col("l.seek").alias("seek"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at", F.col("l.no").alias("no"), *[F.col(f"l.{c}").alias(c) for c in ("sketch", "edits", "own", "seek")])
     uniq = flat.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.min(rank).alias("first"))
     uniq = shared(uniq.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
 
-    own = uniq.select("lid", F.posexplode("first.own").alias("place", "key"))
-    seek = uniq.select("lid", F.posexplode("first.seek").alias("place", "key"))
+    own = uniq.select("lid", "first.sketch", "first.edits", F.posexplode("first.own").alias("place", "key"))
+    seek = uniq.select("lid", "first.sketch", "first.edits", F.posexplode("first.seek").alias("place", "key"))
     hot, n_hot = _crowded(own)
     rare = lambda keys: join_small(keys, hot, "key", "left_anti", n_hot) if n_hot else keys
-    index = rare(own).select("key", "lid")
-    pairs = shared(_meet(index, rare(seek).select("key", "lid").unionByName(index)).distinct(), "line-pairs")
+    index = rare(own).select("key", "lid", "sketch", "edits")
+    pairs = shared(_meet(index, rare(seek).select("key", "lid", "sketch").unionByName(index.drop("edits"))).distinct(), "line-pairs")
     wanted = pairs.select(F.col("x").alias("lid")).unionByName(pairs.select(F.col("y").alias("lid")))
     if n_hot:
         crowded = [join_small(keys, hot, "key", "left_semi", n_hot).withColumn("index", F.lit(i)) for keys, i in ((own, True), (seek, False))]
@@ -322,12 +347,12 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # Texts of the lines concerned, from the documents, found by both hashes.
     wanted = shared(wanted.distinct().join(uniq.select("lid", "a", "b"), "lid"), "line-wanted")
     line = F.explode(F.split(F.coalesce(text, F.lit("")), "\n"))
-    texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where("line <> ''").select("line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(_SALT), "line").alias("b"))
-    texts = may_be_in(texts, wanted, "a").join(wanted, ["a", "b"]).groupBy("lid").agg(F.min("line").alias("line"))
+    texts = docs.select(line.alias("line")).select(F.btrim("line", F.lit(_TRIM)).alias("line")).where("line <> ''").select("line", F.xxhash64("line").alias("a"))
+    texts = may_be_in(texts, wanted, "a").withColumn("b", F.xxhash64(F.lit(_SALT), "line")).join(wanted, ["a", "b"]).groupBy("lid").agg(F.min("line").alias("line"))
     texts = shared(texts, "line-texts")
 
     if n_hot:
-        opened = crowd.join(texts, "lid").withColumn("parts", _opener(limit)("line", "index", "place")).select("lid", "index", "key", "parts")
+        opened = crowd.join(texts, "lid").withColumn("parts", _opener(limit)("line", "index", "place")).select("lid", "sketch", "edits", "index", "key", "parts")
         # lines of equal length meet as index and probe of the same key
         opened = shared(opened.unionByName(opened.where("index").withColumn("index", F.lit(False))), "line-open")
         more = _resolve(opened, texts)

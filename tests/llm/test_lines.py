@@ -86,6 +86,17 @@ def test_lines_of_a_closed_key_are_near(limit):
         assert brute.edit_distance(x, y) <= limit(min(len(x), len(y)))
 
 
+def test_an_edit_changes_four_bits_of_a_sketch_at_most():
+    rng = random.Random(2)
+    for _ in range(2000):
+        x = "".join(rng.choice("abcdeé 漢") for _ in range(rng.randint(3, 40)))
+        y = _edit(rng, x, 1, "abxé")
+        if len(y) > 1:
+            p, q = ld.sketches(f"{x}\n  {y} \nz", [(0, len(x)), (len(x) + 3, len(x) + 3 + len(y))])
+            assert [p, q] == [*ld.sketches(x, [(0, len(x))]), *ld.sketches(y, [(0, len(y))])]
+            assert ((p ^ q) & (1 << 64) - 1).bit_count() <= 4
+
+
 def _docs(rng, n, size=(8, 16)):
     base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(*size))) for _ in range(25)]
     line = lambda: _edit(rng, rng.choice(base), rng.randint(0, 3), "zxyé")
