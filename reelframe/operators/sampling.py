@@ -33,8 +33,8 @@ def job_metadata(frames: DataFrame) -> DataFrame:
 def nearest_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each (job, wanted_t) the frame nearest to the time clamped to the job's span; the earlier of two.
 
-    Both sides are merged by time and scanned once per job (last frame before, first frame after), so
-    no pair of a request and a frame is formed.
+    Both sides are merged by time and scanned once in each direction per job (last frame before, first
+    frame after), so no pair of a request and a frame is formed.
     """
     span = Window.partitionBy("job")
     f = frames.select("job", "t", "idx", F.lit(None).cast("double").alias("wanted_t"))
@@ -44,7 +44,8 @@ def nearest_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     order = [F.col("at"), F.col("wanted_t").isNotNull(), F.col("idx")]
     seen = F.when(F.col("idx").isNotNull(), F.struct("t", "idx"))
     before = F.last(seen, True).over(span.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, True).over(span.orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    # the first frame behind is the last one met when the order is read backwards
+    after = F.last(seen, True).over(span.orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"before": before, "after": after}).where("wanted_t is not null and (before is not null or after is not null)")
     left = F.col("after").isNull() | (F.col("before").isNotNull() & (F.col("at") - F.col("before.t") <= F.col("after.t") - F.col("at")))
     hit = F.when(left, F.col("before")).otherwise(F.col("after"))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import SCREEN, ModeSettings
 
+#: Kept splits that a step of the fold may copy.
+BLOCK = 128
+
+
 def job_window() -> WindowSpec:
     return Window.partitionBy("job")
 
@@ -92,31 +96,42 @@ def suppress(candidates: Column, min_gap: Column) -> Column:
     higher, else falls; the gap is measured from the split that stands at that moment.
     """
     kind = "array<struct<idx: bigint, score: double>>"
+    # kept splits lie in full blocks and an open one, so that no step copies them all
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("full"), F.array().cast(kind).alias("open"))
 
-    def step(kept: Column, c: Column) -> Column:
+    def step(state: Column, c: Column) -> Column:
+        kept = state["open"]
         last = F.element_at(kept, -1)
         near = (F.size(kept) > 0) & (c["idx"] - last["idx"] < min_gap)
         swapped = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(c))
-        return F.when(near & (c["score"] > last["score"]), swapped).when(near, kept).otherwise(F.concat(kept, F.array(c)))
+        full = F.struct(F.concat(state["full"], F.array(kept)).alias("full"), F.array(c).alias("open"))
+        same = lambda items: F.struct(state["full"].alias("full"), items.alias("open"))
+        return F.when(near & (c["score"] > last["score"]), same(swapped)).when(near, state).when(F.size(kept) >= BLOCK, full).otherwise(same(F.concat(kept, F.array(c))))
 
-    return F.transform(F.aggregate(candidates, F.array().cast(kind), step), lambda x: x["idx"])
+    done = F.aggregate(candidates, start, step, lambda s: F.concat(F.flatten(s["full"]), s["open"]))
+    return F.transform(done, lambda x: x["idx"])
 
 
-def with_splits(marked: DataFrame) -> DataFrame:
-    """Adds is_split; the fold runs over the job's transitions alone, gathered in a window."""
-    pick = F.when(F.col("is_transition"), F.struct(F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score")))
-    gathered = marked.withColumn("candidates", F.array_sort(F.collect_list(pick).over(job_window())))
-    # one fold a job: on its first row, then spread
-    kept = F.when(F.row_number().over(order_window()) == 1, suppress(F.col("candidates"), F.greatest(F.lit(1).cast("long"), F.col("min_frames"))))
-    out = gathered.withColumn("kept", kept).withColumn("kept", F.first("kept", True).over(job_window()))
-    return out.withColumn("is_split", F.array_contains("kept", F.col("idx").cast("long"))).drop("candidates", "kept")
+def nms_splits(marked: DataFrame) -> DataFrame:
+    """(job, idx) of the splits kept.
 
+    A candidate that lies ``min_frames`` or more behind the candidate before it lies as far behind every
+    split kept so far, so it is kept whatever came before: the fold runs over each run between such gaps.
+    """
+    gap = F.greatest(F.lit(1).cast("long"), F.col("min_frames"))
+    c = marked.where("is_transition").select("job", F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score"), gap.alias("gap"))
+    opens = F.coalesce(F.col("idx") - F.lag("idx").over(order_window()) >= F.col("gap"), F.lit(True))
+    c = c.withColumn("run", F.sum(opens.cast("long")).over(order_window().rowsBetween(Window.unboundedPreceding, 0)))
+    g = c.groupBy("job", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("c"), F.max("gap").alias("m"))
+    return g.select("job", F.explode(suppress(F.col("c"), F.col("m"))).alias("idx"))
 
-def nms_splits(marked: DataFrame) -> DataFrame:
-    """(job, idx) of the splits kept."""
-    pick = F.struct(F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score"))
-    g = marked.where("is_transition").groupBy("job").agg(F.array_sort(F.collect_list(pick)).alias("c"), F.max("min_frames").alias("m"))
-    return g.select("job", F.explode(suppress(F.col("c"), F.greatest(F.lit(1).cast("long"), F.col("m")))).alias("idx"))
+
+def with_splits(marked: DataFrame) -> DataFrame:
+    """Adds is_split: the splits are sorted in among the frames, each just before its own, in one pass."""
+    splits = nms_splits(marked).select("job", F.col("idx").cast(marked.schema["idx"].dataType).alias("idx"), F.lit(True).alias("_split"))
+    both = marked.withColumn("_split", F.lit(False)).unionByName(splits, allowMissingColumns=True)
+    before = F.lag("_split").over(job_window().orderBy("idx", F.desc("_split")))
+    return both.withColumn("is_split", F.coalesce(before, F.lit(False))).where("not _split").drop("_split")
 
 
 def segment_frames(split: DataFrame, config: ModeSettings = SCREEN) -> DataFrame:

@@ -195,3 +195,32 @@ def test_report(spark):
     assert got["a"].detail == "pages=2 weak_pages=1 failures=pages 2 < min 3, weak_pages 1 > max 0" and got["b"].passed and got["c"].skipped
     assert tuple(report.summarize(report.evaluate_cases(cases, res)).first()) == (3, 2, 1)
     assert ModeSettings(4.0, 0.5, 0.008, 3, 0.012, 2) == SCREEN
+
+
+def test_runs_of_suppression_equal_one_fold(spark):
+    rng = random.Random(6)
+    rows = []
+    for j in range(30):
+        gap = rng.randint(0, 9)
+        rows += [(j, i, rng.choice([0.1, 0.2, 0.3]), rng.random() < 0.4, gap) for i in range(rng.randint(1, 120))]
+    df = spark.createDataFrame(rows, "job long, idx long, transition_score double, is_transition boolean, min_frames long")
+    want = {(j, i) for j in range(30) for i in _suppress([(r[1], r[2]) for r in rows if r[0] == j and r[3]], max(1, next(r[4] for r in rows if r[0] == j)))}
+    assert {(r.job, r.idx) for r in segments.nms_splits(df).collect()} == want
+    marked = segments.with_splits(df).collect()
+    assert len(marked) == len(rows) and {(r.job, r.idx) for r in marked if r.is_split} == want
+
+
+def test_a_long_job_is_segmented_in_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("job"), F.col("id").alias("idx"), (F.col("id") * 0.25).alias("t"), F.pmod(F.hash("id"), F.lit(97)).cast("double").alias("transition_score"), (F.col("id") % 3 == 0).alias("is_transition"), F.lit(4).cast("long").alias("min_frames"))
+        wanted = df.select("job", (F.col("t") + 0.1).alias("wanted_t"))
+        start = time.time()
+        splits = segments.with_splits(df).where("is_split").count()
+        hits = sampling.nearest_frame(df, wanted).where("idx is not null").count()
+        assert n // 20 < splits < n // 3 and hits == n
+        return time.time() - start
+
+    took(1000)
+    assert took(200_000) < 12 * took(20_000) + 15
