@@ -128,20 +128,33 @@ def dhash(image: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+#: Sizes (width, height) at which frames are compared: changed share, mean difference, motion.
+COMPARED = ((320, 180), (256, 144), (224, 224))
+
+
+def miniatures(image: np.ndarray) -> list[bytes]:
+    """The frame at the sizes of COMPARED, all that comparisons need of it."""
+    g = gray(image)
+    return [to_bytes(resize(g, *size)).tobytes() for size in COMPARED]
+
+
+def deltas(before: list[bytes], now: list[bytes]) -> tuple[float, float, float]:
+    """(changed share, mean difference, motion) between the miniatures of two frames."""
+    change, diff, move = (np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)) for a, b in zip(before, now))
+    motion = min(0.85 * float((move > 22).mean()) + 0.6 * float(move.mean() / 255), 0.65)
+    return float((change > 18).mean()), float(diff.mean() / 255), motion
+
+
 def change_ratio(before: np.ndarray, now: np.ndarray) -> float:
-    a, b = (to_bytes(resize(gray(x), 320, 180)).astype(int) for x in (before, now))
-    return float((np.abs(a - b) > 18).mean())
+    return deltas(miniatures(before), miniatures(now))[0]
 
 
 def mean_diff(before: np.ndarray, now: np.ndarray) -> float:
-    a, b = (to_bytes(resize(gray(x), 256, 144)).astype(int) for x in (before, now))
-    return float(np.abs(a - b).mean() / 255)
+    return deltas(miniatures(before), miniatures(now))[1]
 
 
 def motion(before: np.ndarray, now: np.ndarray) -> float:
-    a, b = (to_bytes(resize(gray(x), 224, 224)).astype(int) for x in (before, now))
-    d = np.abs(a - b)
-    return min(0.85 * float((d > 22).mean()) + 0.6 * float(d.mean() / 255), 0.65)
+    return deltas(miniatures(before), miniatures(now))[2]
 
 
 def minmax(a: np.ndarray, top: float = 1.0) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import NEUTRAL
@@ -35,6 +35,18 @@ def workspace_stats(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     return j.withColumn("k", F.lit(1)).join(F.broadcast(p.withColumn("k", F.lit(1))), "k").drop("k")
 
 
+def job_counters(pages: DataFrame) -> DataFrame:
+    """Per job: pages shown, deleted, manual and turned."""
+    counts = {"active": ~F.col("deleted"), "deleted": F.col("deleted"), "manual": F.col("manual"), "rotated": F.col("rotation") != 0}
+    return pages.groupBy("job").agg(*[F.count_if(c).alias(f"{k}_pages") for k, c in counts.items()])
+
+
+def frame_summaries(frames: DataFrame) -> DataFrame:
+    """Per job the frames' summaries in order: index, time, score and reasons, nested as a report shows them."""
+    row = F.struct(F.col("idx").alias("frame_index"), F.col("t").alias("timestamp"), "score", F.col("reasons").alias("rejection_reasons"))
+    return frames.groupBy("job").agg(F.array_sort(F.collect_list(row)).alias("frames"))
+
+
 def transition_stats(marked: DataFrame, members: DataFrame) -> DataFrame:
     """Per job: largest deltas, transitions found, segments kept (what a segmentation run logs)."""
     m = marked.groupBy("job").agg(F.max("change_ratio").alias("max_change"), F.max("mean_diff").alias("max_diff"), F.max("hash_distance").alias("max_hash"), F.count_if("is_transition").alias("transitions"))
@@ -52,11 +64,7 @@ def export_rows(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("deleted")).select("job", "id", "order_index", "rotation", path.alias("image_path")).withColumns(neutral)
 
 
-def observed(df: DataFrame, name: str, **counts) -> DataFrame:
-    """``df`` with metrics gathered as it runs, read by a query listener; no extra pass."""
-    return df.observe(name, F.count("*").alias("rows"), *[c.alias(k) for k, c in counts.items()])
-
-
-def limited(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """First ``n`` rows in a stated order (debug images)."""
-    return df.orderBy(*order).limit(n)
+def first_of_job(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """First ``n`` rows of each job in a stated order, numbered from 1 as ``place`` (debug images)."""
+    place = F.row_number().over(Window.partitionBy("job").orderBy(*order))
+    return df.withColumn("place", place).where(F.col("place") <= n)

@@ -57,6 +57,30 @@ def reorder_pages(pages: DataFrame, orders: DataFrame) -> DataFrame:
     return out.withColumn("applied", F.col("_at").isNotNull()).withColumn("order_index", F.coalesce(F.col("_at").cast("long"), "order_index")).drop("_at")
 
 
+def page_order(pages: DataFrame) -> DataFrame:
+    """Adds ``place``: the whole order that a review sends, active pages first, then the deleted ones, each by order_index."""
+    w = Window.partitionBy("job").orderBy("deleted", "order_index", "id")
+    return pages.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
+def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """Orders after one move a job (job, id, to): the page is taken out of the active ones and put in at place ``to``.
+
+    A place before the first or behind the last is the first or the last; an unknown or deleted page moves
+    nothing. A shift by one is a move to its place plus or minus one. Deleted pages stay behind the active ones.
+    """
+    m = moves.select("job", F.col("id").alias("_id"), F.col("to").cast("long").alias("_to"))
+    out = page_order(pages).join(m, "job", "left")
+    job = Window.partitionBy("job")
+    at = F.max(F.when((F.col("id") == F.col("_id")) & ~F.col("deleted"), F.col("place"))).over(job)
+    out = out.withColumns({"_at": at, "_last": F.count_if(~F.col("deleted")).over(job) - 1})
+    to = F.least(F.greatest("_to", F.lit(0)), F.col("_last"))
+    own = (F.col("id") == F.col("_id")) & F.col("_at").isNotNull()
+    # pages between the old and the new place close up by one
+    moved = F.when(own, to).when((F.col("place") > F.col("_at")) & (F.col("place") <= to), F.col("place") - 1).when((F.col("place") < F.col("_at")) & (F.col("place") >= to), F.col("place") + 1)
+    return out.withColumn("place", F.when(F.col("deleted") | F.col("_at").isNull(), F.col("place")).otherwise(F.coalesce(moved, F.col("place")))).drop("_id", "_to", "_at", "_last")
+
+
 def append_page(pages: DataFrame, new: DataFrame) -> DataFrame:
     """Add manual pages (job, id): last in their job, unrotated, active."""
     last = pages.groupBy("job").agg(F.max("order_index").alias("_last"))

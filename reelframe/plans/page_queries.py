@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import grid, scores, text
-from ..operators import dedup, selection, sequence
+from ..operators import dedup, report, selection, sequence
 from .views import GRIDS_SQL, PAGES_SQL, grids, pages
 
 Q = scores.features()
@@ -66,6 +66,18 @@ def grid_similarity(spark, sf_dir):
     return g.select("job", "id", *[_r(F.col(c), 8).alias(c) for c in ("hist", "layout", "profile")], _r(visual, 8).alias("visual"), _r(scores.cluster_similarity(F.col("hist"), F.col("diff")), 8).alias("cluster_similarity"))
 
 
+def image_deltas(spark, sf_dir):
+    """Each grid against its predecessor: changed share, mean difference, hash distance, transition score, motion."""
+    w = Window.partitionBy("job").orderBy("id")
+    g = _hashes(spark, sf_dir).select("job", "id", "h").join(grids(spark, sf_dir).select("job", "id", "grid"), ["job", "id"])
+    g = g.withColumns({"before": F.lag("grid").over(w), "h0": F.lag("h").over(w)}).where("before is not null")
+    change, diff = grid.moving_share(F.col("grid"), F.col("before"), 18.0), grid.mean_diff(F.col("grid"), F.col("before")) / 255
+    motion = scores.motion_penalty(grid.moving_share(F.col("grid"), F.col("before"), 22.0), diff)
+    g = g.withColumns({"change_ratio": change, "mean_diff": diff, "motion_penalty": motion})
+    shown = [_r(F.col(c), 8).alias(c) for c in ("change_ratio", "mean_diff", "motion_penalty")]
+    return g.select("job", "id", *shown, grid.hamming(F.col("h"), F.col("h0")).alias("hash_distance"), _r(0.7 * F.col("change_ratio") + 0.3 * F.col("mean_diff"), 8).alias("transition_score"))
+
+
 _HIST = lambda x: f"list_transform(range(0, 32), lambda b: len(list_filter({x}, lambda v: floor(floor(v * 255) * 32 / 256) = b))::DOUBLE)"
 _MEAN = lambda x: f"(list_sum({x}) / len({x}))"
 _ZIP = lambda a, b: f"list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i]))"
@@ -110,6 +122,14 @@ def scored(spark, sf_dir):
     return p.withColumn("score", scores.frame_score(Q, F.col("camera"), F.size("reasons")))
 
 
+def frame_summary(spark, sf_dir):
+    """Each job's frame summaries, nested in order; shown as text."""
+    f = scored(spark, sf_dir).select("job", F.col("id").alias("idx"), F.col("start").alias("t"), "score", "reasons")
+    s = report.frame_summaries(f)
+    shown = F.transform("frames", lambda x: F.concat_ws(":", x["frame_index"].cast("string"), F.array_join(x["rejection_reasons"], "|")))
+    return s.select("job", F.size("frames").cast("long").alias("n_frames"), F.md5(F.array_join(shown, ",")).alias("digest"))
+
+
 def soft_filter(spark, sf_dir):
     return selection.soft_filter(pages(spark, sf_dir).withColumn("part", F.floor(F.col("id") / 100)), ["job", "part"]).select("job", "id", "rejected")
 
@@ -226,9 +246,9 @@ def text_normalize(spark, sf_dir):
 
 _LIST = "{'id': r.id, 'n_chars': r.n_chars, 'start': r.start, 'page_coverage': r.page_coverage, 'rectangularity': r.rectangularity, 'single_page_score': r.single_page_score, 'perspective_score': r.perspective_score, 'text_density': r.text_density, 'weak': r.weak, 'rank': r.rank}"
 QUERIES = {
-    "frame_quality": frame_quality, "dhash": dhash, "hamming_pairs": hamming_pairs, "grid_similarity": grid_similarity, "rejection_reasons": rejection_reasons, "soft_filter": soft_filter,
+    "frame_quality": frame_quality, "dhash": dhash, "hamming_pairs": hamming_pairs, "grid_similarity": grid_similarity, "rejection_reasons": rejection_reasons, "frame_summary": frame_summary, "soft_filter": soft_filter,
     "weak_pages": weak_pages, "selection_score": selection_score, "stability_penalty": stability_penalty, "sequence_clusters": sequence_clusters, "cluster_representative": cluster_representative,
-    "near_dup_pairs": near_dup_pairs, "dedup_evidence": dedup_evidence, "dedup_greedy": dedup_greedy, "token_jaccard": token_jaccard, "text_normalize": text_normalize,
+    "image_deltas": image_deltas, "near_dup_pairs": near_dup_pairs, "dedup_evidence": dedup_evidence, "dedup_greedy": dedup_greedy, "token_jaccard": token_jaccard, "text_normalize": text_normalize,
 }
 
 ORACLE_SQL = {
@@ -244,7 +264,12 @@ SELECT job, id, round(brightness, 6) AS brightness, round(contrast, 6) AS contra
     "grid_similarity": f"""WITH {SIMILAR_SQL} SELECT job, id, round(hist, 8) AS hist, round(layout, 8) AS layout, round(profile, 8) AS profile,
   round(greatest(0, least(1, 0.4::DOUBLE * hist + 0.35::DOUBLE * (1 - least(diff / 0.15::DOUBLE, 1)) + 0.15::DOUBLE * layout + 0.1::DOUBLE * profile)), 8) AS visual,
   round(greatest(0, least(1, 0.7::DOUBLE * hist + 0.3::DOUBLE * (1 - least(diff / 0.14::DOUBLE, 1)))), 8) AS cluster_similarity FROM s4""",
+    "image_deltas": f"""WITH {HASH_SQL}, x AS (SELECT g.job, g.id, grid, h, lag(grid) OVER w AS before, lag(h) OVER w AS h0 FROM g JOIN h USING (job, id) WINDOW w AS (PARTITION BY g.job ORDER BY g.id)),
+y AS (SELECT job, id, CAST(bit_count(xor(h, h0)) AS BIGINT) AS hash_distance, {_ZIP("grid", "before")} AS d FROM x WHERE before IS NOT NULL),
+z AS (SELECT job, id, hash_distance, len(list_filter(d, lambda v: v > 18)) / 64 AS c, len(list_filter(d, lambda v: v > 22)) / 64 AS m, list_sum(d) / 64 / 255 AS a FROM y)
+SELECT job, id, hash_distance, round(c, 8) AS change_ratio, round(a, 8) AS mean_diff, round(least(0.85::DOUBLE * m + 0.6::DOUBLE * a, 0.65::DOUBLE), 8) AS motion_penalty, round(0.7::DOUBLE * c + 0.3::DOUBLE * a, 8) AS transition_score FROM z""",
     "rejection_reasons": f"WITH {SCORED_SQL} SELECT id, array_to_string(reasons, '|') AS reasons, len(reasons) AS n_reasons, round(score, 6) AS score FROM q",
+    "frame_summary": f"WITH {SCORED_SQL} SELECT job, count(*) AS n_frames, md5(string_agg(id || ':' || array_to_string(reasons, '|'), ',' ORDER BY id)) AS digest FROM q GROUP BY job",
     "soft_filter": f"WITH {PAGES_SQL} SELECT job, id, rejected FROM p QUALIFY NOT rejected OR NOT bool_or(NOT rejected) OVER (PARTITION BY job, floor(id / 100))",
     "weak_pages": f"WITH {PAGES_SQL} SELECT id, {', '.join(f'{_weak_sql(k)} AS weak_{k}' for k in ('duplicate', 'sequence', 'fixture'))} FROM p",
     "selection_score": f"""WITH {SCORED_SQL}, s AS (SELECT *, score + greatest(0, 1 - 2 * (abs(start + 0.1::DOUBLE - (start + "end") / 2) / greatest("end" - start, 0.001))) * 0.12::DOUBLE

@@ -1,7 +1,7 @@
 """From image frames to pages: the whole reconstruction as one plan.
 
-Pixels are read twice, once for features (a row-wise map of each job's ordered frames) and once for
-the few selected pages; the windows between carry numbers only.
+Pixels are read twice, once for features (a map that leaves numbers and miniatures of each frame) and
+once for the few selected pages; no window or shuffle between carries them.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ..operators import dedup, sampling, segments, selection, sequence
 from ..sources.images import to_array
 
 FEATURES = ("sharpness", "brightness", "contrast", "edge_density", "text_density", *scores.NEUTRAL)
-_NUMBERS = ", ".join(f"{n} double" for n in (*FEATURES, "transition_penalty", "change", "diff"))
-FEATURE_SCHEMA = f"job string, idx long, t double, {_NUMBERS}, phash string, found boolean, normalized boolean"
+_NUMBERS = ", ".join(f"{n} double" for n in FEATURES)
+FEATURE_SCHEMA = f"job string, idx long, t double, {_NUMBERS}, phash string, found boolean, normalized boolean, small array<binary>"
 
 
 class Reconstruction(NamedTuple):
@@ -34,44 +34,41 @@ class Reconstruction(NamedTuple):
 
 
 def frame_features(frames: DataFrame, camera: bool) -> DataFrame:
-    """Features of each frame and its change against the previous one: one ordered pass over a job."""
+    """Features of each frame and its change against the previous one.
 
-    def run(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, before, last = None, None, None
-        for part in group:
+    Pixels are read where they lie: a map turns each frame into its measures and the miniatures that
+    comparisons need, and only those are brought together by job.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
             rows = []
             for r in part.itertuples():
-                if r.job != job:
-                    job, before, last = r.job, None, None
                 image = to_array(r.height, r.width, r.data)
                 d = document.detect(image) if camera else {}
                 seen = d.get("corrected", image)
                 m = images.measures(seen)
                 m |= {k: float(d.get(k, v)) for k, v in scores.NEUTRAL.items()} | {"text_density": d.get("text_density", m["edge_density"])}
-                penalty = images.motion(before, image) if before is not None else 0.0
-                if camera:
-                    penalty += _camera_penalty(d, last)
-                rows.append({
-                    "job": r.job, "idx": r.idx, "t": r.t, **m, "transition_penalty": penalty, "change": None if before is None else images.change_ratio(before, image),
-                    "diff": None if before is None else images.mean_diff(before, image), "phash": images.dhash(seen), "found": d.get("found", True), "normalized": d.get("normalized", True),
-                })
-                before, last = image, d
+                rows.append({"job": r.job, "idx": r.idx, "t": r.t, **m, "phash": images.dhash(seen), "found": d.get("found", True), "normalized": d.get("normalized", True), "small": images.miniatures(image)})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURE_SCHEMA.split(", ")])
 
-    # a job's frames side by side and in order, in batches: the task never holds a whole recording
-    ordered = frames.select("job", "idx", "t", "height", "width", "data").repartition("job").sortWithinPartitions("job", "idx")
-    return ordered.mapInPandas(run, FEATURE_SCHEMA)
-
-
-def _camera_penalty(d: dict, last: dict | None) -> float:
-    total = (0.0 if d["found"] else 0.35) + max(0.0, 0.42 - d["page_coverage"]) + max(0.0, 0.58 - d["single_page_score"]) + 1.2 * max(0.0, d["background_intrusion_ratio"] - 0.08)
-    total += 0.8 * max(0.0, d["border_touch_ratio"] - 0.05) + 1.1 * d["occlusion_ratio"]
-    if last is None:
-        return total
-    if not (d["found"] and last["found"]):
-        return total + 0.22
-    caps = (("page_coverage", 2.0, 0.32), ("rectangularity", 1.0, 0.18), ("perspective_score", 0.8, 0.14), ("single_page_score", 0.9, 0.18), ("border_touch_ratio", 0.7, 0.12))
-    return total + sum(min(abs(d[k] - last[k]) * f, cap) for k, f, cap in caps)
+    found = frames.select("job", "idx", "t", "height", "width", "data").mapInPandas(run, FEATURE_SCHEMA)
+    w = segments.order_window()
+    found = found.withColumn("_d", _image_deltas("small", F.lag("small").over(w))).drop("small")
+    found = found.withColumns({"change": F.col("_d.change"), "diff": F.col("_d.diff")})
+    penalty = F.coalesce("_d.motion", F.lit(0.0))
+    if camera:
+        q = scores.features()
+        moving = ("found", "page_coverage", "rectangularity", "perspective_score", "single_page_score", "border_touch_ratio")
+        found = found.withColumns({f"_before_{n}": F.lag(n).over(w) for n in moving})
+        penalty = penalty + scores.camera_penalty(q) + scores.stability_penalty(q, scores.features("_before_"))
+    return found.withColumn("transition_penalty", penalty).drop(*[c for c in found.columns if c.startswith("_")])
+
+
+@F.pandas_udf(T.StructType().add("change", "double").add("diff", "double").add("motion", "double"))
+def _image_deltas(now: pd.Series, before: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if b is None else images.deltas(b, a) for a, b in zip(now, before)]
+    return pd.DataFrame(rows, columns=["change", "diff", "motion"], dtype="float64")
 
 
 def quality(features: DataFrame, camera: bool, settings: Settings = DEFAULT) -> DataFrame:

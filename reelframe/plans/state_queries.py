@@ -114,6 +114,23 @@ def benchmark_summary(spark, sf_dir):
     return report.summarize(benchmark_eval(spark, sf_dir))
 
 
+def page_order(spark, sf_dir):
+    return state.page_order(job_pages(spark, sf_dir)).select("job", "id", "place", "deleted")
+
+
+def page_move(spark, sf_dir):
+    """The first active page shifts by one, jumps to the end or, in every third job, an unknown page is named."""
+    p = job_pages(spark, sf_dir)
+    k = F.col("job") % 3
+    first = p.where("not deleted").groupBy("job").agg(F.min("id").alias("id"))
+    moves = first.select("job", F.when(k == 2, 99).otherwise(F.col("id")).alias("id"), F.when(k == 0, 1).otherwise(50).alias("to"))
+    return state.move_pages(p, moves).select("job", "id", "place")
+
+
+def job_counters(spark, sf_dir):
+    return report.job_counters(job_pages(spark, sf_dir))
+
+
 def _urls(spark, sf_dir) -> DataFrame:
     k, tail = F.col("page_id") % 5, F.regexp_replace("url", "^https?://", "")
     url = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("/artifacts/"), tail)).when(k == 2, F.concat(F.lit("artifacts/"), tail)).when(k == 3, F.lit("")).otherwise(tail)
@@ -143,7 +160,7 @@ def export_rows(spark, sf_dir):
 QUERIES = {
     "jobs_recent": jobs_recent, "export_rows": export_rows,
     "job_document": job_document, "active_pages": active_pages, "page_update": page_update, "bulk_update": bulk_update, "page_reorder": page_reorder, "upsert_jobs": upsert_jobs,
-    "stage_state": stage_state, "recover_jobs": recover_jobs, "export_jobs": export_jobs, "workspace_stats": workspace_stats, "benchmark_eval": benchmark_eval,
+    "page_order": page_order, "page_move": page_move, "job_counters": job_counters, "stage_state": stage_state, "recover_jobs": recover_jobs, "export_jobs": export_jobs, "workspace_stats": workspace_stats, "benchmark_eval": benchmark_eval,
     "benchmark_summary": benchmark_summary, "resolve_url": resolve, "artifact_paths": paths,
 }
 
@@ -171,6 +188,11 @@ SELECT job, id, CASE WHEN hit AND job % 2 = 0 THEN (rotation - 450 + 720) % 360
 SELECT job, id, CASE WHEN hit THEN 270 ELSE rotation END AS rotation, hit OR deleted AS deleted, bool_or(hit) OVER (PARTITION BY job) AS touched FROM q""",
     "page_reorder": """WITH t AS (SELECT conv_id AS job, turn AS id, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS place FROM conversations)
 SELECT job, id, CASE WHEN job % 4 <> 0 OR n < 1 THEN place ELSE id END AS order_index, job % 4 <> 0 AS applied FROM t""",
+    "page_order": f"WITH {_PAGES} SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY deleted, order_index, id) - 1 AS place, deleted FROM p",
+    "page_move": f"""WITH {_PAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY deleted, order_index, id) - 1 AS at_, count(*) FILTER (NOT deleted) OVER (PARTITION BY job) AS n FROM p),
+k AS (SELECT *, CASE WHEN deleted THEN at_ + 1000 WHEN at_ = 0 AND job % 3 = 0 THEN 1.5 WHEN at_ = 0 AND job % 3 = 1 THEN 500 ELSE at_ END AS key FROM o)
+SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY key) - 1 AS place FROM k""",
+    "job_counters": f"WITH {_PAGES} SELECT job, count(*) FILTER (NOT deleted) AS active_pages, count(*) FILTER (deleted) AS deleted_pages, count(*) FILTER (manual) AS manual_pages, count(*) FILTER (rotation <> 0) AS rotated_pages FROM p GROUP BY job",
     "upsert_jobs": f"""WITH {_JOBS} SELECT job, CASE WHEN job % 10 = 0 THEN 'failed' ELSE status END AS status, export_status FROM j UNION ALL SELECT -job, 'queued', export_status FROM j WHERE job % 50 = 1""",
     "stage_state": f"""WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts) / 1e6 AS at_s, ['sample', 'segment', 'select', 'dedupe', 'preview'][event_id % 5 + 1] AS stage,
   CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'start' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),

@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import document, images
+from ..operators.report import first_of_job
 from .images import png, to_array
 
 
@@ -99,6 +101,31 @@ def export_pdf(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select(F.col("job").cast("string"), "order_index", "rotation", "height", "width", "data").groupBy("job").applyInPandas(run, "job string, path string, n_pages long")
 
 
+def debug_images(frames: DataFrame, kept: DataFrame, folder: str, most: int = DEFAULT.debug_images) -> DataFrame:
+    """PNGs of the first ``most`` rejected frames and kept pages of each job: (job, kind, place, path).
+
+    ``frames`` and ``kept`` have job, idx, height, width, data; ``frames`` also rejected, ``kept`` page_number
+    and page_id. Only rows within the limit carry their pixels into the tasks that write.
+    """
+    cols = ["job", "kind", "place", "name", "height", "width", "data"]
+    bad = first_of_job(frames.where("rejected").select("job", "idx"), most, "idx").join(frames, ["job", "idx"])
+    good = first_of_job(kept.select("job", "idx", "page_number", "page_id"), most, "page_number").join(kept.select("job", "idx", "height", "width", "data"), ["job", "idx"])
+    bad = bad.withColumns({"kind": F.lit("rejected"), "name": F.format_string("rejected-%02d-frame-%d", "place", "idx")}).select(*cols)
+    good = good.withColumns({"kind": F.lit("kept"), "name": F.format_string("kept-%02d-%s", "place", "page_id")}).select(*cols)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                path = f"{folder}/debug/{r.job}/{r.name}.png"
+                if r.data is not None:
+                    write_file(path, png(to_array(r.height, r.width, r.data)))
+                    out.append((r.job, r.kind, r.place, path))
+            yield pd.DataFrame(out, columns=["job", "kind", "place", "path"])
+
+    return bad.unionByName(good).withColumn("job", F.col("job").cast("string")).mapInPandas(run, "job string, kind string, place long, path string")
+
+
 _FRAME = {
     "score": "score", "readability_score": "readability_score", "transition_penalty": "transition_penalty", "single_page_score": "single_page_score", "page_coverage": "page_coverage",
     "background_intrusion_ratio": "background_intrusion_ratio", "gutter_ratio": "gutter_ratio", "opposing_page_ratio": "opposing_page_ratio", "rejection_reasons": "reasons",

@@ -152,10 +152,41 @@ def test_png_round_trip_and_reconstruction(spark, tmp_path):
     assert pdf.n_pages == 2 and data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == 2 and int(re.search(rb"startxref\n(\d+)", data)[1]) == data.index(b"xref\n")
     report = sinks.debug_report(out.frames, out.segments, out.selected, out.collapsed, out.pages).first().report
     assert '"sampled_frames":16' in report and '"deduped_pages":2' in report
+    marked = out.frames.select("job", "idx", (F.col("idx") % 2 == 0).alias("rejected")).join(frames, ["job", "idx"])
+    shown = sinks.debug_images(marked, chosen, f"{tmp_path}/store", most=3).collect()
+    assert sorted((r.kind, r.place) for r in shown) == [("kept", 1), ("kept", 2), ("rejected", 1), ("rejected", 2), ("rejected", 3)]
+    assert all(open(r.path, "rb").read(4) == b"\x89PNG" for r in shown) and any(r.path.endswith("/debug/rec/rejected-03-frame-4.png") for r in shown)
     with pytest.raises(ValueError, match="no pages"):
         sinks.pdf([])
 
 
+def test_no_pixels_in_a_shuffle(spark):
+    """The feature pass reads pixels in a map; only numbers and miniatures are brought together."""
+    df = spark.createDataFrame([("j", i, i / 4, 12, 16, bytearray(12 * 16 * 3)) for i in range(4)], src.FRAME_SCHEMA)
+    found = rc.frame_features(df, False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = plan[: plan.index("MapInPandas")]
+    assert "Exchange" in scans and "Exchange" not in plan[plan.index("MapInPandas") :] and "data#" not in scans
+    got = {r.idx: (r.change, r.transition_penalty) for r in found.collect()}
+    assert got == {0: (None, 0.0), 1: (0.0, 0.0), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+
+
+def test_camera_penalties_follow_the_frame_before(spark):
+    shots = [scene(), scene(), np.full((420, 320, 3), 90, np.uint8)]
+    df = spark.createDataFrame([("j", i, i / 3, 420, 320, bytearray(s.tobytes())) for i, s in enumerate(shots)], src.FRAME_SCHEMA)
+    got = {r.idx: r for r in rc.frame_features(df, True).collect()}
+    d = document.detect(shots[0])
+    alone = max(0, 0.42 - d["page_coverage"]) + max(0, 0.58 - d["single_page_score"]) + 1.2 * max(0, d["background_intrusion_ratio"] - 0.08) + 0.8 * max(0, d["border_touch_ratio"] - 0.05) + 1.1 * d["occlusion_ratio"]
+    assert got[0].transition_penalty == pytest.approx(alone) and got[1].transition_penalty == pytest.approx(alone)
+    n = document.detect(shots[2])
+    gone = 0.35 + 0.42 + 0.58 + 1.2 * 0.92 + 0.8 * 0.95 + 1.1 * n["occlusion_ratio"] + 0.22 + images.motion(shots[1], shots[2])
+    assert got[2].transition_penalty == pytest.approx(gone)
+
+
+def blur(a):
+    return images.to_bytes(np.stack([images.gaussian(a[..., i], 13, 4) for i in range(3)], axis=-1))
+
+
 def test_debug_report_lists_all(spark):
     number = "t score readability_score transition_penalty single_page_score page_coverage background_intrusion_ratio gutter_ratio opposing_page_ratio start end mean_change_ratio".split()
     frames = spark.range(40).select(
