@@ -74,3 +74,17 @@ def mode_settings(spark: SparkSession, settings: Settings = DEFAULT) -> DataFram
     names = [f.name for f in fields(ModeSettings)]
     df = spark.createDataFrame(rows, "mode string, " + ", ".join(f"{n} double" for n in names))
     return df.withColumns({n: df[n].cast("long") for n in ("hash_distance_threshold", "dedupe_threshold")})
+
+
+# Sentences that clients show or look for.
+SAID = {
+    "restart": "Processing interrupted by server restart.",
+    "restart_note": "Job was interrupted before completion and needs to be re-uploaded.",
+    "export_restart": "Export interrupted by server restart.",
+    "no_pages": "No active pages available for export.",
+    "no_job": "Job not found",
+    "no_page": "Job or page not found",
+    "no_pages_named": "Job or pages not found",
+    "bad_order": "Invalid page order or job not found",
+    "no_manual": "Could not add a page from the requested video frame",
+}

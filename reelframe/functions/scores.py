@@ -150,18 +150,6 @@ def motion_penalty(moving: Column, mean_diff: Column) -> Column:
     return F.least(0.85 * moving + 0.6 * mean_diff, F.lit(0.65))
 
 
-def single_page_shape(aspect: Column, border: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - 0.65 * F.least(F.abs(aspect - 0.72) / 0.38, F.lit(1.0)) - 0.6 * F.greatest(F.lit(0.0), (aspect - 0.92) / 0.35) - 0.45 * border)
-
-
-def contour_score(q: Feature) -> Column:
-    return 0.45 * q("page_coverage") + 0.25 * q("rectangularity") + 0.2 * q("single_page_score") + 0.1 * (1 - q("border_touch_ratio"))
-
-
-def contour_confidence(q: Feature) -> Column:
-    return clip01(0.34 * q("page_coverage") + 0.28 * q("rectangularity") + 0.24 * q("perspective_score") + 0.14 * (1 - q("border_touch_ratio")))
-
-
 def cluster_similarity(hist: Column, mean_diff: Column) -> Column:
     return clip01(0.7 * hist + 0.3 * (1 - F.least(mean_diff / 0.14, F.lit(1.0))))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SAID
+
 #: Stages of a job, in order.
 STAGES = ("sample", "segment", "select", "dedupe", "preview")
 
@@ -102,7 +104,7 @@ def recover_jobs(jobs: DataFrame) -> DataFrame:
     exporting = F.col("export_status") == "processing"
     return jobs.withColumns({
         "status": F.when(stopped, "failed").otherwise(F.col("status")), "export_status": F.when(exporting, "failed").otherwise(F.col("export_status")),
-        "export_error": F.when(exporting, "Export interrupted by server restart."), "message": F.when(stopped, "Processing interrupted by server restart."),
+        "export_error": F.when(exporting, SAID["export_restart"]), "message": F.when(stopped, SAID["restart"]),
     })
 
 
@@ -112,7 +114,7 @@ def export_jobs(jobs: DataFrame, active: DataFrame) -> DataFrame:
     out = jobs.join(n, "job", "left")
     empty = F.coalesce("_n", F.lit(0)) == 0
     return out.withColumns({
-        "export_status": F.when(empty, "failed").otherwise("processing"), "export_error": F.when(empty, "No active pages available for export."),
+        "export_status": F.when(empty, "failed").otherwise("processing"), "export_error": F.when(empty, SAID["no_pages"]),
         "export_progress": F.when(empty, 0).when(F.col("export_status") == "processing", F.col("export_progress")).otherwise(5),
     }).drop("_n")
 

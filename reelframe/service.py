@@ -18,8 +18,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import MODES
+from .config import MODES, SAID
+from .functions import document, images
+from .operators.sampling import nearest_frame
 from .operators.state import STAGES
+from .sources.images import png, to_array
+from .sources.sinks import write_file
 from .sources.state_store import read_jobs
 
 LABELS = {"sample": "Sample frames", "segment": "Find stable segments", "select": "Choose best frames", "dedupe": "Remove duplicates", "preview": "Write previews"}
@@ -34,9 +38,12 @@ def _now() -> str:
 
 
 class JobService:
-    """``run(job) -> pages`` reconstructs a job; ``export(job, pages) -> url`` writes its file."""
+    """``run(job, stage) -> pages`` reconstructs a job and calls ``stage(key)`` as each stage begins;
+    ``export(job, pages, progress) -> url`` writes its file and may report percents. Without ``export`` an
+    export fails: nothing is said to be ready that nobody wrote.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, run: Callable[[dict], list[dict]] | None = None, export: Callable[[dict, list[dict]], str] | None = None, workers: int = 2):
+    def __init__(self, spark: SparkSession, folder: str, run: Callable[[dict, Callable[[str], None]], list[dict]] | None = None, export: Callable[[dict, list[dict], Callable[[int], None]], str] | None = None, workers: int = 2):
         self.spark, self.folder, self._run, self._export = spark, folder, run, export
         self.path = f"{folder}/jobs_state.json"
         self._lock, self._pool = threading.RLock(), ThreadPoolExecutor(workers)
@@ -67,12 +74,12 @@ class JobService:
         with self._lock:
             for job in self._jobs.values():
                 if job["status"] in ("queued", "processing"):
-                    job |= {"status": "failed", "percent": 100, "message": "Processing interrupted by server restart."}
-                    job["notes"].append("Job was interrupted before completion and needs to be re-uploaded.")
+                    job |= {"status": "failed", "percent": 100, "message": SAID["restart"]}
+                    job["notes"].append(SAID["restart_note"])
                     for s in job["stages"]:
                         s["status"] = "failed" if s["status"] == "processing" else s["status"]
                 if (job["export"] or {}).get("status") == "processing":
-                    job["export"] |= {"status": "failed", "error": "Export interrupted by server restart."}
+                    job["export"] |= {"status": "failed", "error": SAID["export_restart"]}
             self._save()
 
     # -- jobs
@@ -98,8 +105,8 @@ class JobService:
         try:
             with self._lock:
                 self._job(job_id)["status"] = "processing"
-                self.start_stage(job_id, STAGES[0])
-            pages = self._run(self._job(job_id))
+                self.advance(job_id, STAGES[0])
+            pages = self._run(self.get(job_id), lambda key: self.advance(job_id, key))
             with self._lock:
                 job = self._job(job_id)
                 for s in STAGES:
@@ -116,6 +123,18 @@ class JobService:
                     running["status"] = "failed"
                 self._save()
 
+    def advance(self, job_id: str, key: str) -> None:
+        """Begin a stage; those before it are complete by then, and the job's percent follows."""
+        at = STAGES.index(key)
+        with self._lock:
+            job = self._job(job_id)
+            for s in job["stages"][:at]:
+                if s["status"] != "complete":
+                    self.complete_stage(job_id, s["key"])
+            self.start_stage(job_id, key)
+            job |= {"percent": max(job["percent"], 5 + 90 * at // len(STAGES)), "message": LABELS[key], "updated_at": _now()}
+            self._save()
+
     def list(self) -> list[dict]:
         """Newest first."""
         return sorted(self._jobs.values(), key=lambda j: (j["created_at"], j["id"]), reverse=True)
@@ -190,6 +209,27 @@ class JobService:
             self._save()
             return self.get(job_id)
 
+    def add_page_at(self, job_id: str, seconds: float, frames: DataFrame) -> dict:
+        """Append the frame of the recording nearest to a time (``frames`` as ``read_frames`` gives them) as a manual page.
+
+        Camera frames are corrected and finished first. ValueError if the job has no frame.
+        """
+        job = self._job(job_id)
+        own = frames.where(F.col("job") == job_id)
+        wanted = self.spark.createDataFrame([(job_id, float(seconds))], "job string, wanted_t double")
+        hit = nearest_frame(own.select("job", "idx", "t"), wanted).first()
+        row = own.where(F.col("idx") == hit.idx).first() if hit else None
+        if row is None:
+            raise ValueError(SAID["no_manual"])
+        image = to_array(row.height, row.width, row.data)
+        if job["mode"] == "camera":
+            image = document.finish(document.detect(image)["corrected"])
+        page_id = f"manual-{uuid.uuid4().hex[:8]}"
+        paths = [f"{self.folder}/jobs/{job_id}/{kind}/{page_id}.png" for kind in ("pages", "thumbnails")]
+        for path, shown in zip(paths, (image, images.thumbnail(image))):
+            write_file(path, png(shown))
+        return self.add_page(job_id, id=page_id, image_path=paths[0], thumbnail_path=paths[1], segment_start=row.t, segment_end=row.t)
+
     # -- export
 
     def export(self, job_id: str) -> dict:
@@ -206,8 +246,11 @@ class JobService:
         try:
             pages = [p for p in self.get(job_id)["pages"] if not p["deleted"]]
             if not pages:
-                raise ValueError("No active pages available for export.")
-            url = self._export(self.get(job_id), pages) if self._export else f"/artifacts/exports/{job_id}.pdf"
+                raise ValueError(SAID["no_pages"])
+            if not self._export:
+                raise ValueError("This service has no writer of export files.")
+            self._export_progress(job_id, revision, 35)
+            url = self._export(self.get(job_id), pages, lambda percent: self._export_progress(job_id, revision, percent))
             result = {"status": "ready", "progress": 100, "filename": f"{job_id}.pdf", "url": url, "error": None}
         except Exception as e:
             result = {"status": "failed", "progress": 0, "filename": None, "url": None, "error": str(e)[:500]}
@@ -217,6 +260,13 @@ class JobService:
                 job["export"] = result
                 self._save()
 
+    def _export_progress(self, job_id: str, revision: int, percent: int) -> None:
+        with self._lock:
+            job = self._job(job_id)
+            if job["revision"] == revision and job["export"]["status"] == "processing":
+                job["export"]["progress"] = max(job["export"]["progress"], min(int(percent), 99))
+                self._save()
+
     def wait(self) -> None:
         """Until all work handed in so far has ended."""
         self._pool.shutdown(wait=True)

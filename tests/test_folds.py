@@ -224,3 +224,16 @@ def test_a_long_job_is_segmented_in_linear_time(spark):
 
     took(1000)
     assert took(200_000) < 12 * took(20_000) + 15
+
+
+def test_both_duplicate_decisions_agree(spark):
+    """The rules on columns and on plain values, around all their limits."""
+    from reelframe.plans.reconstruct import is_duplicate
+
+    rng = random.Random(12)
+    some = {"hash_distance": [0, 8, 9, 20], "gap": [0.0, 2.4, 2.5], "visual": [0.71, 0.72, 0.9, 0.93, 0.94, 0.95, 0.975, 0.98, 1.0], "layout": [0.88, 0.89, 0.9, 0.92, 0.94, 0.95], "profile": [0.89, 0.9, 0.92, 0.93, 0.94], "tokens": [0.83, 0.84, 0.9, 0.97], "ocr": [0.0, 0.9], "text_heavy": [True, False], "either_weak": [True, False]}
+    rows = [{k: rng.choice(v) for k, v in some.items()} for _ in range(4000)]
+    df = spark.createDataFrame(rows, "hash_distance long, gap double, visual double, layout double, profile double, tokens double, ocr double, text_heavy boolean, either_weak boolean")
+    got = [r.d for r in df.select(scores.is_duplicate(F.col, 2).alias("d")).collect()]
+    want = [is_duplicate(r, 2) for r in rows]
+    assert got == want and 100 < sum(want) < 3900

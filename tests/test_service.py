@@ -12,7 +12,7 @@ def _page(i, **more):
 
 
 def test_life_of_a_job(spark, tmp_path):
-    s = JobService(spark, str(tmp_path), run=lambda job: [_page("p0"), _page("p1")])
+    s = JobService(spark, str(tmp_path), run=lambda job, stage: [_page("p0"), _page("p1")], export=lambda job, pages, progress: f"/artifacts/exports/{job['id']}.pdf")
     job = s.create("a.mp4")
     s.wait()
     assert s.get(job["id"])["status"] == "ready" and all(x["status"] == "complete" for x in s.get(job["id"])["stages"])
@@ -53,7 +53,7 @@ def test_restart_fails_what_was_running(spark, tmp_path):
 
 
 def test_failed_run_and_stale_export(spark, tmp_path):
-    def broken(job):
+    def broken(job, stage):
         raise RuntimeError("no frames")
 
     s = JobService(spark, str(tmp_path), run=broken)
@@ -91,3 +91,67 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     ingest.run_once(ingest.stream_deltas(stream.select("job", "ts", "value")), lambda df, n: got.extend(df.collect()), f"{tmp_path}/ck", "append")
     want = {(r.job, r.idx): r.change_ratio for r in deltas(spark, sf_dir).where("job < 6").collect()}
     assert {(r.job, r.idx): r.change or 0.0 for r in got} == pytest.approx(want)
+
+
+def test_export_without_a_writer_fails(spark, tmp_path):
+    s = JobService(spark, str(tmp_path), run=lambda job, stage: [_page("p0")])
+    job = s.create("a.mp4")
+    s.wait()
+    s.export(job["id"])
+    s.wait()
+    assert s.get(job["id"])["export"]["status"] == "failed" and s.get(job["id"])["export"]["url"] is None
+
+
+def test_stages_are_told_as_they_begin(spark, tmp_path):
+    seen = []
+
+    def run(job, stage):
+        for key in ("segment", "select"):
+            stage(key)
+            now = s.get(job["id"])
+            seen.append(([x["status"] for x in now["stages"]], now["percent"]))
+        return []
+
+    s = JobService(spark, str(tmp_path), run=run)
+    s.create("a.mp4")
+    s.wait()
+    assert seen[0][0] == ["complete", "processing", "pending", "pending", "pending"] and seen[1][0][:3] == ["complete", "complete", "processing"]
+    assert 5 < seen[0][1] < seen[1][1] < 100
+
+
+def test_recording_to_pages_to_file_over_routes(spark, tmp_path):
+    """Upload, reconstruction, manual page, order, rotation and export through the routes, with a real recording."""
+    from reelframe import api, workflow
+    from reelframe.sources import images as src
+    from reelframe.sources import sinks
+
+    from .test_images import alt_page, page
+
+    folder = str(tmp_path / "store")
+    recording = lambda job: src.read_frames(spark, f"file://{tmp_path}/frames", 4.0)
+    s = JobService(spark, folder, run=lambda job, stage: workflow.runner(recording, 4.0, folder)(job, stage), export=workflow.exporter(spark, folder))
+    call = lambda *a: api.handle(s, *a, frames_of=recording)
+    assert call("GET", "/health") == (200, {"status": "ok"}) and call("GET", "/jobs") == (200, [])
+    real, s._run = s._run, None
+    job = call("POST", "/jobs/upload", {"filename": "rec.mp4"})[1]["id"]
+    for i, shot in enumerate([page()] * 8 + [alt_page()] * 8):
+        sinks.write_file(f"{tmp_path}/frames/{job}/{i}.png", src.png(shot))
+    s._run = real
+    s._process(job)
+    status, got = call("GET", f"/jobs/{job}")
+    assert status == 200 and got["status"] == "ready" and [p["order_index"] for p in got["pages"]] == [0, 1], got["message"]
+    assert all(open(p["image_path"], "rb").read(4) == b"\x89PNG" for p in got["pages"])
+    status, got = call("POST", f"/jobs/{job}/pages/manual", {"timestamp": 2.6})
+    manual = got["pages"][2]
+    assert status == 200 and manual["manual"] and manual["segment_start"] == 2.5 and open(manual["thumbnail_path"], "rb").read(4) == b"\x89PNG"
+    ids = [p["id"] for p in got["pages"]]
+    assert call("POST", f"/jobs/{job}/pages/reorder", {"page_ids": ids[::-1]})[0] == 200 and call("POST", f"/jobs/{job}/pages/reorder", {"page_ids": ids[:1]})[0] == 400
+    assert call("PATCH", f"/jobs/{job}/pages/{ids[0]}", {"rotation": 90})[0] == 200 and call("PATCH", f"/jobs/{job}/pages", {"page_ids": [ids[1]], "deleted": True})[0] == 200
+    assert call("POST", f"/jobs/{job}/export")[1]["status"] == "processing"
+    s.wait()
+    done = s.get(job)["export"]
+    data = open(f"{folder}/exports/{job}.pdf", "rb").read()
+    assert done["status"] == "ready" and done["url"] == f"/artifacts/exports/{job}.pdf" and data.startswith(b"%PDF") and data.count(b"/Type /Page ") == 2
+    assert [call(*a)[0] for a in (("GET", "/jobs/none"), ("POST", "/jobs/none/export"), ("PATCH", f"/jobs/{job}/pages/zz"), ("PATCH", "/jobs/none/pages"), ("POST", "/jobs/none/pages/manual"), ("POST", "/jobs/none/pages/reorder"))] == [404, 404, 404, 404, 400, 400]
+    assert call("POST", "/jobs/upload", {})[0] == 422 and call("POST", "/jobs/upload", {"filename": "a", "mode": "phone"})[0] == 422 and call("GET", "/other")[0] == 404 and call("DELETE", f"/jobs/{job}")[0] == 405
+    assert call("POST", f"/jobs/{job}/pages/manual", {})[0] == 400
