@@ -214,3 +214,10 @@ def test_frame_source(spark):
     spark.dataSource.register(src.FrameSource)
     df = spark.read.format("frames").option("paths", "a,b").option("decoder", "tests.test_images:shots_of").option("fps", "2").option("interval", "3").load()
     assert sorted((r.job, r.idx, r.t) for r in df.collect()) == [(j, i, i / 2) for j in "ab" for i in (0, 3, 6)]
+
+
+def test_quality_scenarios(spark):
+    from reelframe.plans import scenarios
+
+    found = {r.name: (r.passed, r.detail) for r in scenarios.report(spark).collect()}
+    assert len(found) == 4 and all(p for p, _ in found.values()), found

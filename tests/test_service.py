@@ -155,3 +155,33 @@ def test_recording_to_pages_to_file_over_routes(spark, tmp_path):
     assert [call(*a)[0] for a in (("GET", "/jobs/none"), ("POST", "/jobs/none/export"), ("PATCH", f"/jobs/{job}/pages/zz"), ("PATCH", "/jobs/none/pages"), ("POST", "/jobs/none/pages/manual"), ("POST", "/jobs/none/pages/reorder"))] == [404, 404, 404, 404, 400, 400]
     assert call("POST", "/jobs/upload", {})[0] == 422 and call("POST", "/jobs/upload", {"filename": "a", "mode": "phone"})[0] == 422 and call("GET", "/other")[0] == 404 and call("DELETE", f"/jobs/{job}")[0] == 405
     assert call("POST", f"/jobs/{job}/pages/manual", {})[0] == 400
+
+
+def test_stream_ties_late_state_and_windows(spark, tmp_path):
+    """Ties go by event_id, idle jobs start anew, windowed counts appear once the watermark has passed."""
+    schema = "job long, event_id long, ts timestamp, value double, rejected boolean"
+    batches = [
+        [(1, 2, "2024-01-01 00:00:00", 20.0, False), (1, 1, "2024-01-01 00:00:00", 10.0, True), (2, 3, "2024-01-01 00:00:00", 5.0, False)],
+        [(2, 4, "2024-01-03 00:00:00", 6.0, False)],
+        [(2, 5, "2024-01-05 00:00:00", 7.0, True)],
+        [(1, 6, "2024-01-05 01:00:00", 30.0, False)],
+    ]
+    from datetime import datetime
+
+    for b in batches:
+        rows = [(j, e, datetime.fromisoformat(t), v, r) for j, e, t, v, r in b]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    import glob
+    import os
+
+    for i, f in enumerate(sorted(glob.glob(f"{tmp_path}/in/*.parquet"), key=os.path.getmtime)):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = []
+    stream = ingest.stream_events(spark, f"{tmp_path}/in", schema)
+    ingest.run_once(ingest.stream_deltas(stream, 1.0, late="1 hour", idle=3_600_000), lambda df, n: got.extend(df.collect()), f"{tmp_path}/ck", "append")
+    by = {(r.job, r.ts.day, r.value): (r.idx, r.change) for r in got}
+    assert by[1, 1, 10.0] == (0, None) and by[1, 1, 20.0] == (1, 10.0)
+    assert by[1, 5, 30.0] == (0, None)  # its state had gone
+    counts = []
+    ingest.run_once(ingest.windowed_counts(ingest.stream_events(spark, f"{tmp_path}/in", schema)), lambda df, n: counts.extend(df.select("window.start", "job", "n", "n_rejected").collect()), f"{tmp_path}/ck2", "append")
+    assert {(r.start.day, r.job, r.n, r.n_rejected) for r in counts} == {(1, 1, 2, 1), (1, 2, 1, 0), (3, 2, 1, 0)}
