@@ -35,7 +35,7 @@ from .common import shared
 MAX_LENGTH = 2048
 END = 1
 #: Pieces numbered by one task, and slots whose offsets are summed by one task.
-SLOT_PIECES, RANGE = 200_000, 4096
+SLOT_PIECES, RANGE = 20_000, 4096
 #: Words and pieces that a task remembers the ids of, each in two generations of this size.
 CACHE = 100_000
 
