@@ -64,17 +64,24 @@ def _shifted(a: np.ndarray, dy: int, dx: int, fill=0) -> np.ndarray:
     return out
 
 
+def _any_within(mask: np.ndarray, before: int, behind: int, axis: int) -> np.ndarray:
+    """Whether any cell from ``before`` cells before to ``behind`` cells behind is set, by running counts."""
+    n = mask.shape[axis]
+    count = np.insert(mask.cumsum(axis=axis), 0, 0, axis=axis)
+    at = np.arange(n)
+    return np.take(count, np.minimum(at + behind + 1, n), axis=axis) > np.take(count, np.maximum(at - before, 0), axis=axis)
+
+
 def dilate(mask: np.ndarray, size: int = 3, times: int = 1) -> np.ndarray:
-    lo, hi = -(size // 2), size - 1 - size // 2
+    """Square dilation; an even square reaches farther ahead, so that it undoes the shift of ``erode``."""
     for _ in range(times):
-        mask = np.logical_or.reduce([_shifted(mask, dy, dx) for dy in range(lo, hi + 1) for dx in range(lo, hi + 1)])
+        mask = _any_within(_any_within(mask, size // 2, (size - 1) // 2, 0), size // 2, (size - 1) // 2, 1)
     return mask
 
 
 def erode(mask: np.ndarray, size: int = 3, times: int = 1) -> np.ndarray:
-    lo, hi = -(size // 2), size - 1 - size // 2
     for _ in range(times):
-        mask = np.logical_and.reduce([_shifted(mask, dy, dx, True) for dy in range(lo, hi + 1) for dx in range(lo, hi + 1)])
+        mask = ~_any_within(_any_within(~mask, (size - 1) // 2, size // 2, 0), (size - 1) // 2, size // 2, 1)
     return mask
 
 
@@ -82,6 +89,21 @@ def opened(mask: np.ndarray, size: int) -> np.ndarray:
     return dilate(erode(mask, size), size)
 
 
+def closed(mask: np.ndarray, size: int) -> np.ndarray:
+    return erode(dilate(mask, size), size)
+
+
+def box(a: np.ndarray, size: int) -> np.ndarray:
+    """Mean over a square of odd size, mirrored at the borders, by running sums."""
+    r = size // 2
+    for axis in range(2):
+        pad = [(r, r) if i == axis else (0, 0) for i in range(2)]
+        total = np.insert(np.pad(a, pad, mode="reflect" if a.shape[axis] > r else "edge").cumsum(axis=axis), 0, 0, axis=axis)
+        n = a.shape[axis]
+        a = (np.take(total, np.arange(size, n + size), axis=axis) - np.take(total, np.arange(n), axis=axis)) / size
+    return a
+
+
 def sobel(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = a.astype(np.float64)
     smooth, slope = np.array([1.0, 2.0, 1.0]), np.array([-1.0, 0.0, 1.0])

@@ -85,6 +85,63 @@ def test_blur_lowers_sharpness():
     assert images.measures(blurred)["sharpness"] < 0.2 * images.measures(a)["sharpness"]
 
 
+def test_morphology_against_plain_windows():
+    rng = np.random.default_rng(3)
+    mask, grey = rng.random((17, 23)) < 0.4, rng.integers(0, 256, (17, 23)).astype(float)
+    for size in (2, 3, 4, 5):
+        a, b = (size - 1) // 2, size // 2
+        for y in range(17):
+            for x in range(23):
+                assert images.erode(mask, size)[y, x] == mask[max(y - a, 0) : y + b + 1, max(x - a, 0) : x + b + 1].all()
+                assert images.dilate(mask, size)[y, x] == mask[max(y - b, 0) : y + a + 1, max(x - b, 0) : x + a + 1].any()
+        assert not (images.opened(mask, size) & ~mask).any() and (images.closed(mask, size) | ~mask).all()
+    p = np.pad(grey, 2, mode="reflect")
+    assert np.allclose(images.box(grey, 5), [[p[y : y + 5, x : x + 5].mean() for x in range(23)] for y in range(17)])
+    ring = np.zeros((9, 9), bool)
+    ring[2:7, 1:8] = True
+    ring[3:6, 3:5] = False
+    assert document.filled_area(ring) == 35
+
+
+def test_crop_by_colour_then_by_light():
+    pale = np.full((300, 240, 3), (40, 40, 40), np.uint8)
+    rect(pale, 30, 40, 209, 259, 240)
+    assert document.page_box(document.page_mask(pale)) == (34, 266, 24, 216) and document.crop(pale).shape == (232, 192, 3)
+    tinted = np.full((300, 240, 3), (20, 30, 30), np.uint8)  # yellow paper: too saturated for the first mask
+    rect(tinted, 30, 40, 209, 259, (60, 190, 215))
+    assert document.page_box(document.page_mask(tinted)) is None and document.crop(tinted).shape == (232, 192, 3)
+    assert document.crop(pale[:79]).shape == (79, 240, 3)
+    noise = np.random.default_rng(4).integers(0, 256, (120, 160, 3)).astype(np.uint8)
+    assert document.crop(noise).shape == noise.shape
+
+
+def test_finished_pages():
+    """Thin strokes stay, ink at the border goes, and a page that stays dark is given in light greys."""
+    a = np.full((200, 160, 3), 250, np.uint8)
+    rect(a, 40, 60, 120, 61, 30)
+    rect(a, 0, 120, 60, 123, 30)
+    final = document.finish(a)[20:-20, 20:-20, 0]
+    assert document.finish(a).shape == (240, 200, 3) and set(np.unique(final)) == {0, 255}
+    assert (final[58:64, 60:100] == 0).any() and (final[116:128, :70] == 255).all()
+    dark = np.full((200, 160), 250, np.uint8)
+    yy, xx = np.indices((180, 140))
+    dark[10:190, 10:150] = np.where((yy % 16 < 10) & (xx % 16 < 10), 20, 250)
+    soft = document.finish(np.repeat(dark[..., None], 3, axis=2))[20:-20, 20:-20, 0]
+    assert soft.min() == 135 and soft.max() == 255 and len(np.unique(soft)) > 2
+
+
+def test_page_measures():
+    a = np.full((100, 200, 3), 250, np.uint8)
+    a[:, :28] = 0  # dark outer bands, 14 % each, weigh against the fold
+    a[:, 172:] = 0
+    a[:, 94:106] = 0
+    assert document.gutter(a) == 0.0
+    a[:, :28] = a[:, 172:] = 250
+    assert document.gutter(a) == pytest.approx(0.5)
+    assert document.perspective_score(np.array([[0, 0], [100, 0], [100, 50], [20, 50]], float)) == pytest.approx(1 - (0.2 + abs(np.hypot(20, 50) - 50) / np.hypot(20, 50)) / 2)
+    assert document.background_intrusion(np.full((60, 60, 3), 200, np.uint8)) == 1.0
+
+
 def test_detects_a_page_on_a_desk():
     d = document.detect(scene())
     assert d["found"] and d["page_coverage"] > 0.5 and d["rectangularity"] > 0.85 and d["single_page_score"] > 0.5
