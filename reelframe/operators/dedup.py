@@ -44,8 +44,10 @@ def greedy_dedup(pages: DataFrame, matches: Callable[[Column, Column], Column],
     empty = F.array().cast(kind)
 
     def step(kept: Column, p: Column) -> Column:
-        hits = F.transform(kept, lambda k, i: F.when(matches(k, p), i + 1).otherwise(0))
-        at = F.coalesce(F.array_min(F.filter(hits, lambda x: x > 0)), F.lit(0))
+        # (slots looked at, slot of the first match or 0): behind the first match no evidence is evaluated
+        seen = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"))
+        look = lambda s, k: F.struct((s["n"] + 1).alias("n"), F.when(s["at"] > 0, s["at"]).when(matches(k, p), s["n"] + 1).otherwise(0).alias("at"))
+        at = F.aggregate(kept, seen, look, lambda s: s["at"])
         swapped = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (p["rank"] > k["rank"]), p).otherwise(k))
         return F.when(at == 0, F.concat(kept, F.array(p))).otherwise(swapped)
 
@@ -53,19 +55,32 @@ def greedy_dedup(pages: DataFrame, matches: Callable[[Column, Column], Column],
     return done.select("job", (F.col("slot") + 1).cast("long").alias("slot"), F.col("page.id").alias("id"))
 
 
-def greedy_dedup_pandas(pages: DataFrame, matches: Callable[[dict, dict], bool], columns: list[str]) -> DataFrame:
+def greedy_dedup_pandas(pages: DataFrame, matches: Callable[[dict, dict], bool], columns: list[str], keys: Callable[[dict], tuple[list, list]] | None = None) -> DataFrame:
     """The same fold for evidence that columns can't express (image signatures): one job a group.
 
     ``pages`` has job, id, start, ord, rank and ``columns``; signatures come precomputed, once a page.
+    ``keys(page)`` gives the keys that a kept page is filed under and those a newcomer looks under; pages
+    that match must share one. Then a newcomer meets the pages under its keys only, and its cost doesn't
+    grow with all pages kept; without it, it meets all of them. Either way the first match ends the search.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
+        filed: dict[object, set[int]] = {}
+
+        def file(slot: int, page: dict, add: bool) -> None:
+            for k in keys(page)[0] if keys else ():
+                (filed.setdefault(k, set()).add if add else filed[k].discard)(slot)
+
         for page in group.sort_values(["start", "ord"], kind="stable").to_dict("records"):
-            at = next((i for i, k in enumerate(kept) if matches(k, page)), None)
+            met = sorted(set().union(*(filed.get(k, ()) for k in keys(page)[1]))) if keys else range(len(kept))
+            at = next((i for i in met if matches(kept[i], page)), None)
             if at is None:
+                file(len(kept), page, True)
                 kept.append(page)
             elif page["rank"] > kept[at]["rank"]:
+                file(at, kept[at], False)
+                file(at, page, True)
                 kept[at] = page
         return pd.DataFrame({"job": [k["job"] for k in kept], "slot": range(1, len(kept) + 1), "id": [k["id"] for k in kept]})
 

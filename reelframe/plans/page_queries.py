@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import grid, scores, text
 from ..operators import dedup, report, selection, sequence
-from .views import GRIDS_SQL, PAGES_SQL, grids, pages
+from .views import GRIDS_SQL, PAGES_SQL, grids, pages, table
 
 Q = scores.features()
 G = DEFAULT.gates
@@ -233,10 +233,13 @@ def dedup_greedy(spark, sf_dir):
 
 
 def token_jaccard(spark, sf_dir):
-    """Each document's tokens against its predecessor's in its source."""
-    p = pages(spark, sf_dir).select("job", "id", F.array_distinct(F.split(text.normalize_text(F.col("text")), " ")).alias("tok"))
-    p = p.withColumn("before", F.lag("tok").over(Window.partitionBy("job").orderBy("id"))).where("before is not null")
-    return p.select("job", "id", _r(text.token_jaccard(F.col("tok"), F.col("before"))).alias("similarity"))
+    """Each document's tokens against its predecessor's in its source: identifiers alone go through the window by source."""
+    d = table(spark, sf_dir, "documents")
+    ids = d.select(F.col("source").alias("job"), F.col("doc_id").alias("id"))
+    ids = ids.withColumn("last", F.lag("id").over(Window.partitionBy("job").orderBy("id"))).where("last is not null")
+    tok = d.select(F.col("doc_id").alias("id"), F.array_distinct(F.split(text.normalize_text(F.col("text")), " ")).alias("tok"))
+    pairs = ids.join(tok, "id").join(tok.select(F.col("id").alias("last"), F.col("tok").alias("before")), "last")
+    return pairs.select("job", "id", _r(text.token_jaccard(F.col("tok"), F.col("before"))).alias("similarity"))
 
 
 def text_normalize(spark, sf_dir):

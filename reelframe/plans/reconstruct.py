@@ -6,7 +6,7 @@ once for the few selected pages; no window or shuffle between carries them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -137,6 +137,25 @@ def collapse(pages: DataFrame) -> DataFrame:
     return sequence.cluster_representatives(clustered, scores.sequence_rank(q), scores.weak(q, "sequence"))
 
 
+def match_keys(max_hash: int) -> Callable[[dict], tuple[list, list]]:
+    """Keys of which two pages that ``is_duplicate`` accepts share one.
+
+    Either their hashes differ in at most ``max_hash + 6`` bits, so one more bands than that agree in one,
+    or their visual similarity is 0.95 at least. Then the mean difference of their contents takes no more
+    than 0.05 of its weight of 0.35, and no less does the difference of their means.
+    """
+    n = max_hash + 7
+    cuts = [i * 64 // n for i in range(n + 1)]
+    width = 0.05 / 0.35 * 2 * DEFAULT.duplicate_content_diff * (1 + 1e-6)
+
+    def keys(page: dict) -> tuple[list, list]:
+        h, level = int(page["phash"], 16), int(np.mean(page["content"]) // width)
+        bands = [(i, h >> a & (1 << b - a) - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        return bands + [("level", level)], bands + [("level", level + d) for d in (-1, 0, 1)]
+
+    return keys
+
+
 _EVIDENCE = ["phash", "content", "layout", "tokens", "text_density", "weak"]
 
 
@@ -144,7 +163,7 @@ def remove_duplicates(pages: DataFrame, max_hash: int) -> DataFrame:
     """Greedy duplicates of pages with signatures; kept pages with slot, page_number and label."""
     q = scores.features()
     ranked = pages.withColumns({"rank": scores.duplicate_rank(q), "weak": scores.weak(q, "duplicate"), "id": F.col("idx")})
-    kept = dedup.greedy_dedup_pandas(ranked, lambda a, b: is_duplicate(evidence(a, b), max_hash), _EVIDENCE)
+    kept = dedup.greedy_dedup_pandas(ranked, lambda a, b: is_duplicate(evidence(a, b), max_hash), _EVIDENCE, match_keys(max_hash))
     return dedup.renumber(kept).join(ranked.drop("page_number", "label", "slot"), ["job", "id"])
 
 

@@ -76,7 +76,8 @@ def test_greedy_dedup_equals_a_loop(spark):
         want |= {(j, s): k[1] for s, k in enumerate(kept, 1)}
     hof = dedup.greedy_dedup(df, lambda k, p: F.abs(k["x"] - p["x"]) <= 2, ["x"])
     plain = dedup.greedy_dedup_pandas(df, lambda k, p: abs(k["x"] - p["x"]) <= 2, ["x"])
-    for out in (hof, plain):
+    filed = dedup.greedy_dedup_pandas(df, lambda k, p: abs(k["x"] - p["x"]) <= 2, ["x"], lambda p: ([p["x"] // 3], [p["x"] // 3 + d for d in (-1, 0, 1)]))
+    for out in (hof, plain, filed):
         assert {(r.job, r.slot): r.id for r in out.collect()} == want
     assert dedup.renumber(hof).where("page_number <> slot").isEmpty()
 

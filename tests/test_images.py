@@ -190,6 +190,25 @@ def test_near_duplicates_collapse_and_other_layouts_stay():
     assert _greedy([(1.0, 0.68, page(shift=1), {"weak": True}), (1.45, 0.94, page(), {})]) == [1]
 
 
+def test_pages_that_match_share_a_key():
+    """Over altered pages: what the rules accept is always found by the keys, and they tell most others apart."""
+    rng = np.random.default_rng(5)
+    shots = [f(shift=int(s)) for f in (page, alt_page) for s in range(0, 12, 2)] + [page(darken=int(d)) for d in (0, 10, 40, 80)]
+    shots += [images.to_bytes(page() + rng.normal(0, s, page().shape)) for s in (2, 6, 12, 25)] + [images.to_bytes(alt_page() * k) for k in (0.9, 0.8, 0.6)]
+    rows = _signed([(float(i), 0.9, s, {"weak": bool(i % 2)}) for i, s in enumerate(shots)])
+    accepted = 0
+    for most in (2, 6):
+        keys = [rc.match_keys(most)(r) for r in rows]
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows[:i]):
+                if rc.is_duplicate(rc.evidence(b, a), most, window=4.0):
+                    accepted += 1
+                    assert set(keys[j][0]) & set(keys[i][1])
+    assert accepted > 20
+    a, far = rows[0], dict(rows[0], phash=f"{int(rows[0]['phash'], 16) ^ (2**64 - 1):016x}", content=np.clip(rows[0]["content"] + 0.2, 0, 1))
+    assert not set(rc.match_keys(6)(a)[0]) & set(rc.match_keys(6)(far)[1])
+
+
 def test_png_round_trip_and_reconstruction(spark, tmp_path):
     """A recording of two pages, read back by the image source, gives two pages, a PDF and a report."""
     shots = [page()] * 8 + [alt_page()] * 8
