@@ -93,49 +93,51 @@ class Encoder:
         self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])}
         self.words: dict[bytes, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
 
-    def _piece(self, p: str) -> bytes:
-        found = self.pieces.get(p)
+    def _piece(self, p: bytes) -> bytes:
+        found = self.old_pieces.get(p)
         if found is None:
-            found = self.old_pieces.get(p)
-            if found is None:
-                found = array("I", [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.bytes))]).tobytes()
-            self.pieces[p] = found
+            s = p.decode()
+            found = array("I", [t.id for t in self.model.tokenize(s if p.isascii() else s.translate(self.bytes))]).tobytes()
+        self.pieces[p] = found
         return found
 
     def _word(self, word: bytes) -> bytes:
         found = self.old_words.get(word)
         if found is not None:
             return found
-        s = word.decode()
-        core = s.rstrip(",.")
-        if core.isalpha() and (word.isascii() or _LETTERS.fullmatch(core)):  # most words: letters, then marks
-            ids = self._piece(core.lower())
-            return ids if len(core) == len(s) else ids + self._piece(s[len(core) :])
-        if _PLAIN.fullmatch(s):
-            return b"".join(map(self._piece, _PIECE.findall(s.lower())))
-        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        core = word.rstrip(b",.")  # most words: letters, then marks
+        if core.isalpha():  # ASCII alone, in bytes
+            low = core.lower()
+        else:
+            s = word.decode()
+            letters = core.decode()
+            if _LETTERS.fullmatch(letters):
+                low = letters.lower().encode()
+            elif _PLAIN.fullmatch(s):
+                return b"".join([self.pieces.get(p) or self._piece(p) for p in map(str.encode, _PIECE.findall(s.lower()))])
+            else:
+                return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        ids = self.pieces.get(low) or self._piece(low)
+        if len(core) == len(word):
+            return ids
+        marks = word[len(core) :]
+        return ids + (self.pieces.get(marks) or self._piece(marks))
 
     def encode(self, text: bytes) -> bytes:
         if not self.fast:
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = words[i]
-                    x = self.words.get(w)  # met earlier in this text
-                    if x is None:
-                        x = self.words[w] = self._word(w)
-                    found[i] = x
+        for w in set(words).difference(self.words):
+            self.words[w] = self._word(w)
+        out = b"".join(map(self.words.__getitem__, words))
         if len(self.words) > CACHE:
             self.words, self.old_words = {}, self.words
         if len(self.pieces) > CACHE:
             self.pieces, self.old_pieces = {}, self.pieces
-        return b"".join(found)
+        return out
 
 
 def default_tokenizer() -> str:
