@@ -36,8 +36,8 @@ MAX_LENGTH = 2048
 END = 1
 #: Pieces numbered by one task, and slots whose offsets are summed by one task.
 SLOT_PIECES, RANGE = 20_000, 4096
-#: Words and pieces that a task remembers the ids of, in two generations of this size each (some 70 MB a worker).
-CACHE, PIECES = 100_000, 300_000
+#: Words and pieces that a task remembers the ids of, each in two generations of this size.
+CACHE = 100_000
 
 #: Words of these characters split into pieces by the same rules here ('<' may begin a special token);
 #: all others go to the tokenizer whole.
@@ -135,7 +135,7 @@ class Encoder:
         out = b"".join(map(self.words.__getitem__, words))
         if len(self.words) > CACHE:
             self.words, self.old_words = {}, self.words
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > CACHE:
             self.pieces, self.old_pieces = {}, self.pieces
         return out
 
