@@ -1,7 +1,8 @@
 """Sinks: page images, thumbnails, PDF files, debug reports.
 
-Files go through Hadoop-free Python writers in the tasks, so ``folder`` must be one that all executors
-share (a mounted store). Names depend on the row alone: a retried task writes the same file again.
+Files go through Python writers in the tasks, so ``folder`` must be one that all executors share: a
+mounted path, or an address that Arrow's file systems know (``file://``, ``hdfs://``, ``s3://``). Names
+depend on the row alone: a retried task writes the same file again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,21 @@ from ..operators.report import first_of_job
 from .images import png, to_array
 
 
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address and the place within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def write_file(path: str, data: bytes) -> None:
-    """Whole file or none: written beside and renamed."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with open(beside, "wb") as f:
+    """Whole file or none: written beside and renamed; where a store can't rename onto a file, that one goes first."""
+    store, place = place_of(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    beside = f"{place}.{uuid.uuid4().hex}"
+    with store.open_output_stream(beside) as f:
         f.write(data)
-    os.replace(beside, path)
+    if store.type_name == "hdfs" and store.get_file_info(place).type != fs.FileType.NotFound:
+        store.delete_file(place)
+    store.move(beside, place)
 
 
 def write_pages(pages: DataFrame, folder: str, camera: bool = False, base_url: str = "/artifacts", width: int = 360) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import place_of, write_file
+
 STAGE = "key string, label string, status string, progress_percent long, started_at string, completed_at string"
 PAGE = "id string, order_index long, rotation long, deleted boolean, manual boolean, status string, image_path string, thumbnail_path string, segment_start double, segment_end double"
 EXPORT = "status string, progress long, filename string, url string, error string"
@@ -28,7 +30,8 @@ DEFAULTS = {"mode": "screen", "status": "queued", "percent": 0, "message": "", "
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """One row a job; a missing or unreadable file has none, missing fields have their defaults."""
     empty = spark.createDataFrame([], SCHEMA).select(F.explode("jobs").alias("j")).select("j.*")
-    if "://" not in path and not os.path.exists(path):
+    store, place = place_of(path)
+    if store.get_file_info(place).type == fs.FileType.NotFound:
         return empty
     jobs = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(F.explode("jobs").alias("j")).select("j.*")
     jobs = jobs.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items()})
@@ -44,11 +47,7 @@ def pages_of(jobs: DataFrame) -> DataFrame:
 
 def write_jobs(jobs: list[dict], path: str) -> None:
     """Replace the document in one step, so a reader sees the old state or the new one."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
-        json.dump({"jobs": jobs}, f, indent=1)
-    os.replace(f.name, path)
+    write_file(path, json.dumps({"jobs": jobs}, indent=1).encode())
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -49,7 +49,7 @@ def exporter(spark: SparkSession, folder: str, base_url: str = "/artifacts") ->
         for i, p in enumerate(pages):
             if not p["image_path"]:
                 raise ValueError(f"page without image: {p['id']}")
-            row = spark.read.format("image").load(f"file://{p['image_path']}").select("image.*").first()
+            row = spark.read.format("image").load(p["image_path"] if "://" in p["image_path"] else f"file://{p['image_path']}").select("image.*").first()
             image = to_array(row.height, row.width, row.data)
             turned.append(np.ascontiguousarray(sinks.images.rotate(image, int(p["rotation"]))))
             progress(35 + 55 * (i + 1) // len(pages))

@@ -185,3 +185,18 @@ def test_stream_ties_late_state_and_windows(spark, tmp_path):
     counts = []
     ingest.run_once(ingest.windowed_counts(ingest.stream_events(spark, f"{tmp_path}/in", schema)), lambda df, n: counts.extend(df.select("window.start", "job", "n", "n_rejected").collect()), f"{tmp_path}/ck2", "append")
     assert {(r.start.day, r.job, r.n, r.n_rejected) for r in counts} == {(1, 1, 2, 1), (1, 2, 1, 0), (3, 2, 1, 0)}
+
+
+def test_files_by_address(spark, tmp_path):
+    """Paths and addresses name the same files; a file is replaced whole and nothing is left beside it."""
+    from reelframe.sources import sinks
+
+    for data in (b"one", b"two"):
+        sinks.write_file(f"file://{tmp_path}/a/b.bin", data)
+        assert (tmp_path / "a" / "b.bin").read_bytes() == data and [p.name for p in (tmp_path / "a").iterdir()] == ["b.bin"]
+    sinks.write_file(f"{tmp_path}/a/b.bin", b"three")
+    assert (tmp_path / "a" / "b.bin").read_bytes() == b"three"
+    address = f"file://{tmp_path}/state/jobs.json"
+    assert state_store.read_jobs(spark, address).count() == 0
+    state_store.write_jobs([{"id": "j1", "mode": "camera"}], address)
+    assert [(r.id, r.mode, r.status) for r in state_store.read_jobs(spark, address).collect()] == [("j1", "camera", "queued")]
