@@ -166,6 +166,43 @@ def test_word_cache_equals_the_tokenizer(monkeypatch):
         assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, repr(text)
 
 
+def _cut(texts):
+    """Ids of each text as the packing query's function cuts them."""
+    import pyarrow as pa
+
+    (found,) = packing._cutter(packing.default_tokenizer(), packing.MAX_LENGTH, True).func(iter([pa.array(texts, pa.string())]))
+    return [b"".join(p["ids"] for p in t) for t in found.to_pylist()]
+
+
+def _whole(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    return [b"".join(n.to_bytes(4, "little") for n in [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for t in texts]
+
+
+def test_words_are_looked_up_in_bulk(monkeypatch):
+    """Fewer Python calls than words, though no word comes twice and there are more than the cache holds."""
+    import cProfile
+
+    monkeypatch.setattr(packing, "CACHE", 50)
+    stems = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnrs" for d in "aeio"]
+    texts = [" ".join(s + m for s in stems) for m in (x + y for x in ",.!?:" for y in ["", *",.!?"])]
+    _cut(["once"])  # files are read
+    run = cProfile.Profile()
+    found = run.runcall(_cut, texts)
+    assert found == _whole(texts)
+    assert sum(c.callcount for c in run.getstats()) < len(stems) * len(texts)
+
+
+def test_texts_are_cut_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 40)
+    monkeypatch.setattr(packing, "LAID", 7)
+    texts = [None, "", "  \t one  two,\x0b\x0c\r\nthree. ", None, "Öl-Preis's <|endoftext|> 12.5%\x1c\u00a0x " * 30, "a", "\n", "漢字 e\u0301 É", "ends " * 3000, None]
+    assert _cut(texts) == _whole(texts)
+    assert _cut([]) == [] and _cut([None]) == _whole([None])
+
+
 def test_packing_with_another_tokenizer(docs, texts):
     import zlib
 
