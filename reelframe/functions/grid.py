@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +49,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("long")
 
 
+def hamming_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``hamming`` of arrays of whole numbers."""
+    return np.bitwise_count(np.bitwise_xor(a, b, dtype=np.int64).view(np.uint64))
+
+
 def hex_distance(a: Column, b: Column) -> Column:
     """Hamming distance of hexadecimal hashes; each missing digit counts four bits."""
     return hamming(hash_from_hex(a), hash_from_hex(b)) + 4 * F.abs(F.length(a) - F.length(b))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,3 +176,13 @@ def is_duplicate(e: Feature, max_hash: Column | int, window: float = DEFAULT.dup
         .when(~near & at(DEFAULT.far_visual, 0.95, 0.94), True)
         .otherwise(False)
     )
+
+
+def is_duplicate_arrays(e: dict, max_hash: int, window: float = DEFAULT.duplicate_window_seconds, text: float = DEFAULT.text_similarity) -> np.ndarray:
+    """``is_duplicate`` on arrays of evidence."""
+    near = e["gap"] <= window
+    at = lambda v, lay, prof: (e["visual"] >= v) & (e["layout"] >= lay) & (e["profile"] >= prof)
+    heavy = (at(0.93, 0.9, 0.93) & (np.maximum(e["ocr"], e["tokens"]) >= text)) | (near & at(0.9, 0.9, 0.93) & (e["tokens"] >= 0.97))
+    light = np.where(near, at(DEFAULT.low_text_visual, 0.92, 0.9), at(DEFAULT.far_visual, 0.95, 0.94))
+    sure = near & (at(0.98, 0.94, 0.92) | (at(0.72, 0.89, 0.93) & (e["tokens"] >= 0.84) & e["either_weak"]))
+    return ~((e["hash_distance"] > max_hash + 6) & (e["visual"] < 0.95)) & (sure | np.where(e["text_heavy"], heavy, light))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -190,6 +191,16 @@ def _duplicate_evidence(k, p) -> dict:
     }
 
 
+def _evidence_arrays(k: dict, p: dict) -> dict:
+    """``_duplicate_evidence`` on arrays."""
+    near = lambda n, s: 1 - np.abs(k[n] - p[n]) * s
+    return {
+        "hash_distance": grid.hamming_arrays(k["n_chars"], p["n_chars"]), "gap": np.abs(k["start"] - p["start"]), "visual": near("page_coverage", 0.15), "layout": near("rectangularity", 0.1),
+        "profile": near("single_page_score", 0.08), "tokens": near("perspective_score", 0.3), "ocr": 0.0, "text_heavy": np.minimum(k["text_density"], p["text_density"]) >= DEFAULT.text_density_cut,
+        "either_weak": k["weak"] | p["weak"],
+    }
+
+
 _FIELDS = ["n_chars", "page_coverage", "rectangularity", "single_page_score", "perspective_score", "text_density", "weak"]
 
 
@@ -210,8 +221,8 @@ def near_dup_pairs(spark, sf_dir):
 
 def dedup_evidence(spark, sf_dir):
     """Greedy duplicates under the full evidence tree."""
-    match = lambda k, p: scores.is_duplicate(lambda n, e=_duplicate_evidence(k, p): e[n], 2)
-    return dedup.renumber(dedup.greedy_dedup(_dedup_pages(spark, sf_dir), match, _FIELDS)).select("job", "slot", "id", "label")
+    match = lambda k, p: scores.is_duplicate_arrays(_evidence_arrays(k, p), 2)
+    return dedup.renumber(dedup.greedy_dedup_blocks(_dedup_pages(spark, sf_dir), match, ["start", *_FIELDS])).select("job", "slot", "id", "label")
 
 
 _RANKED = f"{SCORED_SQL}, k AS (SELECT *, {_weak_sql('duplicate')} AS weak, {_sum(scores.DUPLICATE_RANK)} AS rank FROM q)"
@@ -229,7 +240,7 @@ WHEN {gap} AND {at(0.94, 0.92, 0.9)} THEN true WHEN NOT {gap} AND {at(0.975, 0.9
 
 def dedup_greedy(spark, sf_dir):
     p = _hashes(spark, sf_dir).select("job", "id", "ord", F.lit(0.0).alias("start"), "h", F.element_at("raw", 1).alias("rank"))
-    return dedup.greedy_dedup(p, lambda k, x: grid.hamming(k["h"], x["h"]) <= 19, ["h"])
+    return dedup.greedy_dedup_blocks(p, lambda k, x: grid.hamming_arrays(k["h"], x["h"]) <= 19, ["h"])
 
 
 def token_jaccard(spark, sf_dir):

@@ -238,3 +238,50 @@ def test_both_duplicate_decisions_agree(spark):
     got = [r.d for r in df.select(scores.is_duplicate(F.col, 2).alias("d")).collect()]
     want = [is_duplicate(r, 2) for r in rows]
     assert got == want and 100 < sum(want) < 3900
+
+
+def test_long_jobs_fold_in_blocks_as_in_a_loop(spark, tmp_path):
+    """8,000 pages of one job (interpreted columns took minutes), across blocks, batches and slot steps."""
+    import time
+
+    from reelframe.plans.page_queries import dedup_greedy
+
+    rng = random.Random(13)
+    vectors = [[rng.random() for _ in range(64)] for _ in range(8000)]
+    spark.createDataFrame([(7, i, v) for i, v in enumerate(vectors)], "label int, vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    start = time.time()
+    got = {r.slot: r.id for r in dedup_greedy(spark, str(tmp_path)).collect()}
+    assert time.time() - start < 40
+    rows = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", F.element_at("embedding", 1).alias("rank"), grid.dhash(F.col("embedding")).alias("h")).orderBy("vec_id").collect()
+    kept = []
+    for r in rows:
+        at = next((i for i, k in enumerate(kept) if (k.h ^ r.h).bit_count() <= 19), None)
+        if at is None:
+            kept.append(r)
+        elif r.rank > kept[at].rank:
+            kept[at] = r
+    assert got == {s: k.vec_id for s, k in enumerate(kept, 1)} and len(kept) > dedup.FIRST_SLOTS
+
+
+def test_the_block_fold_has_the_orders_of_sql(spark):
+    """Null and NaN ranks, ties, null fields and jobs, text ids; against the fold on columns."""
+    rng = random.Random(14)
+    rank = lambda: rng.choice([None, float("nan"), float("inf"), -0.0, 0.0, -1.5, 1.0, 2.0])
+    rows = [(rng.choice([None, "a", "b", "c"]), f"p{i:05}", i, rng.choice([None, 0.0, 1.0]), rng.choice([None, *range(60)]), rank()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "job string, id string, ord long, start double, x long, rank double")
+    want = dedup.greedy_dedup(df, lambda k, p: F.abs(k["x"] - p["x"]) <= 2, ["x"])
+    got = dedup.greedy_dedup_blocks(df, lambda k, p: abs(k["x"] - p["x"]) <= 2, ["x"])
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
+
+
+def test_all_duplicate_decisions_agree_on_arrays(spark):
+    import numpy as np
+
+    from reelframe.plans.reconstruct import is_duplicate
+
+    rng = random.Random(15)
+    some = {"hash_distance": [0, 8, 9, 20], "gap": [0.0, 2.4, 2.5], "visual": [0.71, 0.72, 0.9, 0.93, 0.94, 0.95, 0.975, 0.98, 1.0], "layout": [0.88, 0.89, 0.9, 0.92, 0.94, 0.95], "profile": [0.89, 0.9, 0.92, 0.93, 0.94], "tokens": [0.83, 0.84, 0.9, 0.97], "ocr": [0.0, 0.9], "text_heavy": [True, False], "either_weak": [True, False]}
+    rows = [{k: rng.choice(v) for k, v in some.items()} for _ in range(4000)]
+    got = scores.is_duplicate_arrays({k: np.array([r[k] for r in rows]) for k in some}, 2)
+    assert got.tolist() == [is_duplicate(r, 2) for r in rows]
