@@ -2,7 +2,9 @@
 
 Frames have columns job, idx, t, rejected and per-frame signals. Every window is partitioned by job
 and ordered by idx, so the whole chain from deltas to segments shares one shuffle; the one
-order-dependent fold (split suppression) runs over the few split candidates of a job.
+order-dependent fold (split suppression) runs over the few split candidates of a job. Each sort holds
+a task's rows, so windows that follow each other ask for one and the same order. ``order`` names columns
+that order a job's frames as idx does, for frames that already lie in that order.
 """
 
 from __future__ import annotations
@@ -14,14 +16,20 @@ from ..config import SCREEN, ModeSettings
 
 #: Kept splits that a step of the fold may copy.
 BLOCK = 128
+IDX = ("idx",)
 
 
 def job_window() -> WindowSpec:
     return Window.partitionBy("job")
 
 
-def order_window() -> WindowSpec:
-    return job_window().orderBy("idx")
+def order_window(order: tuple[str, ...] = IDX) -> WindowSpec:
+    return job_window().orderBy(*order)
+
+
+def whole(window: WindowSpec) -> WindowSpec:
+    """All rows of an ordered window's partition, under the same sort."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def frame_deltas(frames: DataFrame, change: Column, diff: Column, distance: Column) -> DataFrame:
@@ -51,17 +59,17 @@ def threshold_columns(config: ModeSettings) -> dict[str, Column]:
     }
 
 
-def with_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> DataFrame:
-    return deltas.withColumn("previous_t", F.lag("t").over(order_window())).withColumns(threshold_columns(config)).drop("previous_t")
+def with_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN, order: tuple[str, ...] = IDX) -> DataFrame:
+    return deltas.withColumn("previous_t", F.lag("t").over(order_window(order))).withColumns(threshold_columns(config)).drop("previous_t")
 
 
-def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> DataFrame:
+def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN, order: tuple[str, ...] = IDX) -> DataFrame:
     """One row a job: score_limit, hash_limit, diff_limit, spacing, min_frames.
 
     Grouped rather than windowed: the frames themselves are not needed.
     """
     gap = F.greatest(F.col("t") - F.col("previous_t"), F.lit(0.001))
-    g = deltas.withColumn("previous_t", F.lag("t").over(order_window())).groupBy("job")
+    g = deltas.withColumn("previous_t", F.lag("t").over(order_window(order))).groupBy("job")
     spacing = F.coalesce(F.median(F.when(F.col("previous_t").isNotNull(), gap)), F.lit(0.25))
     out = g.agg(
         F.count("*").alias("n"),
@@ -81,10 +89,10 @@ def adaptive_thresholds(deltas: DataFrame, config: ModeSettings = SCREEN) -> Dat
     )
 
 
-def with_transitions(limited: DataFrame) -> DataFrame:
+def with_transitions(limited: DataFrame, order: tuple[str, ...] = IDX) -> DataFrame:
     """Adds is_transition: a local peak of the score (plateaus count) over any adaptive limit."""
     s = F.col("transition_score")
-    peak = (s >= F.coalesce(F.lag("transition_score").over(order_window()), F.lit(-1.0))) & (s >= F.coalesce(F.lead("transition_score").over(order_window()), F.lit(-1.0)))
+    peak = (s >= F.coalesce(F.lag("transition_score").over(order_window(order)), F.lit(-1.0))) & (s >= F.coalesce(F.lead("transition_score").over(order_window(order)), F.lit(-1.0)))
     over = (s >= F.col("score_limit")) | (F.col("hash_distance") >= F.col("hash_limit")) | (F.col("mean_diff") >= F.col("diff_limit"))
     return limited.withColumn("is_transition", F.coalesce(peak & over, F.lit(False)))
 
@@ -112,23 +120,23 @@ def suppress(candidates: Column, min_gap: Column) -> Column:
     return F.transform(done, lambda x: x["idx"])
 
 
-def nms_splits(marked: DataFrame) -> DataFrame:
+def nms_splits(marked: DataFrame, order: tuple[str, ...] = IDX) -> DataFrame:
     """(job, idx) of the splits kept.
 
     A candidate that lies ``min_frames`` or more behind the candidate before it lies as far behind every
     split kept so far, so it is kept whatever came before: the fold runs over each run between such gaps.
     """
     gap = F.greatest(F.lit(1).cast("long"), F.col("min_frames"))
-    c = marked.where("is_transition").select("job", F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score"), gap.alias("gap"))
-    opens = F.coalesce(F.col("idx") - F.lag("idx").over(order_window()) >= F.col("gap"), F.lit(True))
-    c = c.withColumn("run", F.sum(opens.cast("long")).over(order_window().rowsBetween(Window.unboundedPreceding, 0)))
+    c = marked.where("is_transition").select("job", F.col("idx").cast("long").alias("idx"), F.col("transition_score").alias("score"), gap.alias("gap"), *[n for n in order if n != "idx"])
+    opens = F.coalesce(F.col("idx") - F.lag("idx").over(order_window(order)) >= F.col("gap"), F.lit(True))
+    c = c.withColumn("run", F.sum(opens.cast("long")).over(order_window(order).rowsBetween(Window.unboundedPreceding, 0)))
     g = c.groupBy("job", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("c"), F.max("gap").alias("m"))
     return g.select("job", F.explode(suppress(F.col("c"), F.col("m"))).alias("idx"))
 
 
-def with_splits(marked: DataFrame) -> DataFrame:
+def with_splits(marked: DataFrame, order: tuple[str, ...] = IDX) -> DataFrame:
     """Adds is_split: the splits are sorted in among the frames, each just before its own, in one pass."""
-    splits = nms_splits(marked).select("job", F.col("idx").cast(marked.schema["idx"].dataType).alias("idx"), F.lit(True).alias("_split"))
+    splits = nms_splits(marked, order).select("job", F.col("idx").cast(marked.schema["idx"].dataType).alias("idx"), F.lit(True).alias("_split"))
     both = marked.withColumn("_split", F.lit(False)).unionByName(splits, allowMissingColumns=True)
     before = F.lag("_split").over(job_window().orderBy("idx", F.desc("_split")))
     return both.withColumn("is_split", F.coalesce(before, F.lit(False))).where("not _split").drop("_split")
@@ -142,27 +150,29 @@ def segment_frames(split: DataFrame, config: ModeSettings = SCREEN) -> DataFrame
     other is left. A job none of whose segments is long enough is one segment as a whole.
     """
     raw = split.withColumn("part", F.sum(F.col("is_split").cast("long")).over(order_window().rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("job", "part")
+    w = Window.partitionBy("job", "part").orderBy("idx")
     sized = raw.withColumns({
-        "n": F.count("*").over(w), "start": F.min("t").over(w), "end": F.max("t").over(w),
-        "place": F.row_number().over(w.orderBy("idx")), "usable": F.max((~F.col("rejected")).cast("int")).over(w) == 1,
+        "n": F.count("*").over(whole(w)), "start": F.min("t").over(whole(w)), "end": F.max("t").over(whole(w)),
+        "place": F.row_number().over(w), "usable": F.max((~F.col("rejected")).cast("int")).over(whole(w)) == 1,
     })
     kept = ~((F.col("end") - F.col("start") < config.min_seconds) & (F.col("n") < F.col("min_frames"))) & F.col("usable")
     sized = sized.withColumn("kept", kept)
     some = F.max(F.col("kept").cast("int")).over(job_window()) == 1
-    whole = sized.withColumn("some", some)
-    again = Window.partitionBy("job")
-    whole = whole.withColumns({
-        "part": F.when(F.col("some"), F.col("part")).otherwise(0), "n": F.when(F.col("some"), F.col("n")).otherwise(F.count("*").over(again)),
+    # parts follow each other as their frames do, so this is the order of idx under the sort of w
+    again, placed = job_window(), job_window().orderBy("part", "idx")
+    all_in = sized.withColumn("some", some).withColumns({
+        "n": F.when(F.col("some"), F.col("n")).otherwise(F.count("*").over(again)),
         "start": F.when(F.col("some"), F.col("start")).otherwise(F.min("t").over(again)), "end": F.when(F.col("some"), F.col("end")).otherwise(F.max("t").over(again)),
-        "place": F.when(F.col("some"), F.col("place")).otherwise(F.row_number().over(order_window())),
+        "place": F.when(F.col("some"), F.col("place")).otherwise(F.row_number().over(placed)),
         "kept": F.when(F.col("some"), F.col("kept")).otherwise(F.max((~F.col("rejected")).cast("int")).over(again) == 1),
-    }).where("kept").drop("kept", "some", "usable")
+    }).where("kept").drop("kept", "usable")
     inner = (F.col("n") <= 2) | ((F.col("place") > 1) & (F.col("place") < F.col("n")))
-    accepted = F.max((inner & ~F.col("rejected")).cast("int")).over(w) == 1
-    out = whole.withColumns({"inner": inner, "accepted": accepted, "mean_change_ratio": F.avg("change_ratio").over(w)})
+    of_segment = lambda f, c: F.when(F.col("some"), f(c).over(whole(w))).otherwise(f(c).over(again))
+    out = all_in.withColumn("inner", inner)
+    out = out.withColumns({"accepted": of_segment(F.max, (F.col("inner") & ~F.col("rejected")).cast("int")) == 1, "mean_change_ratio": of_segment(F.avg, "change_ratio")})
     out = out.withColumn("is_candidate", F.col("inner") & (~F.col("rejected") | ~F.col("accepted")))
-    return out.withColumn("seg_no", F.dense_rank().over(job_window().orderBy("part")).cast("long")).drop("inner", "accepted", "place", "part")
+    number = F.when(F.col("some"), F.dense_rank().over(job_window().orderBy("part"))).otherwise(1)
+    return out.withColumn("seg_no", number.cast("long")).drop("inner", "accepted", "place", "part", "some")
 
 
 def stable_segments(members: DataFrame) -> DataFrame:

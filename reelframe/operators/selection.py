@@ -20,8 +20,11 @@ def top_one(df: DataFrame, keys: list[str], rank: Column, tie: str) -> DataFrame
 
 def best_frames(members: DataFrame, rank: Column) -> DataFrame:
     """Pages from segment members: the best candidate frame, its label and notes."""
-    pool = members.where("is_candidate").withColumn("rank", rank).withColumn("n_candidates", F.count("*").over(Window.partitionBy("job", "seg_no")))
-    best = top_one(pool, ["job", "seg_no"], F.col("rank"), "idx")
+    # one sort for both: the count takes all rows of the window that places them
+    w = Window.partitionBy("job", "seg_no").orderBy(F.col("rank").desc(), F.col("idx").asc())
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pool = members.where("is_candidate").withColumn("rank", rank).withColumns({"n_candidates": F.count("*").over(every), "_place": F.row_number().over(w)})
+    best = pool.where("_place = 1").drop("_place")
     notes = F.array(
         F.format_string("Selected from %d candidate frames.", F.col("n_candidates")),
         F.format_string("Segment stability delta: %.4f", F.col("mean_change_ratio")),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import mode_settings
 from ..functions import scores
 from ..operators import report, sampling, segments, selection
-from .views import EVENT_CONFIG, FRAMES_SQL, frames
+from .views import EVENT_CONFIG, FRAME_ORDER, FRAMES_SQL, frames, ordered_frames
 
 C = EVENT_CONFIG
 
@@ -18,9 +18,9 @@ def _r(x, n: int = 6):
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = lambda c: F.lag(c).over(segments.order_window())
+    before = lambda c: F.lag(c).over(segments.order_window(FRAME_ORDER))
     return segments.frame_deltas(
-        frames(spark, sf_dir),
+        ordered_frames(spark, sf_dir),
         F.abs(F.col("value") - before("value")) / 500.0,
         F.abs(F.col("sod") - before("sod")) / 86400.0,
         F.bit_count(F.col("code").bitwiseXOR(before("code"))).cast("long"),
@@ -64,16 +64,16 @@ def frame_deltas(spark, sf_dir):
 
 
 def adaptive_thresholds(spark, sf_dir):
-    a = segments.adaptive_thresholds(deltas(spark, sf_dir), C)
+    a = segments.adaptive_thresholds(deltas(spark, sf_dir), C, FRAME_ORDER)
     return a.select("job", *[_r(F.col(c)).alias(c) for c in ("score_limit", "diff_limit", "spacing")], "hash_limit", "min_frames")
 
 
 def marked(spark, sf_dir) -> DataFrame:
-    return segments.with_transitions(segments.with_thresholds(deltas(spark, sf_dir), C))
+    return segments.with_transitions(segments.with_thresholds(deltas(spark, sf_dir), C, FRAME_ORDER), FRAME_ORDER)
 
 
 def members(spark, sf_dir) -> DataFrame:
-    return segments.segment_frames(segments.with_splits(marked(spark, sf_dir)), C)
+    return segments.segment_frames(segments.with_splits(marked(spark, sf_dir), FRAME_ORDER), C)
 
 
 def transition_points(spark, sf_dir):
@@ -81,7 +81,7 @@ def transition_points(spark, sf_dir):
 
 
 def nms_splits(spark, sf_dir):
-    return segments.nms_splits(marked(spark, sf_dir))
+    return segments.nms_splits(marked(spark, sf_dir), FRAME_ORDER)
 
 
 def stable_segments(spark, sf_dir):
@@ -147,7 +147,7 @@ def format_time(spark, sf_dir):
 
 def transition_rows(spark, sf_dir):
     """Deltas over a sliding window of frames: mean and maximum of the last five scores."""
-    w = Window.partitionBy("job").orderBy("idx").rowsBetween(-4, 0)
+    w = segments.order_window(FRAME_ORDER).rowsBetween(-4, 0)
     return deltas(spark, sf_dir).select("job", "idx", _r(F.coalesce(F.avg("transition_score").over(w), F.lit(0.0))).alias("mean5"), _r(F.coalesce(F.max("transition_score").over(w), F.lit(0.0))).alias("max5"))
 
 

@@ -20,12 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns that order the frames of a job as idx does; ``ordered_frames`` lie in this order.
+FRAME_ORDER = ("ts", "event_id")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_frames(spark, sf_dir).drop(*FRAME_ORDER)
+
+
+def ordered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``frames`` with the columns of their order."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("job").orderBy("ts", "event_id")
+    w = Window.partitionBy("job").orderBy(*FRAME_ORDER)
     e = e.select(F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.col("event_type") == "error").alias("rejected"))
     t = F.unix_micros("ts") / 1e6
-    out = e.select("job", (F.row_number().over(w) - 1).cast("long").alias("idx"), t.alias("t"), "value", "rejected", F.round(F.col("value") * 100).cast("long").alias("code"))
+    out = e.select("job", *FRAME_ORDER, (F.row_number().over(w) - 1).cast("long").alias("idx"), t.alias("t"), "value", "rejected", F.round(F.col("value") * 100).cast("long").alias("code"))
     return out.withColumn("sod", F.col("t") - F.floor(F.col("t") / 86400) * 86400)
 
 

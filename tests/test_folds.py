@@ -285,3 +285,12 @@ def test_all_duplicate_decisions_agree_on_arrays(spark):
     rows = [{k: rng.choice(v) for k, v in some.items()} for _ in range(4000)]
     got = scores.is_duplicate_arrays({k: np.array([r[k] for r in rows]) for k in some}, 2)
     assert got.tolist() == [is_duplicate(r, 2) for r in rows]
+
+
+def test_windows_in_a_row_share_their_sorts(spark, sf_dir):
+    """Each sort of a task holds all its rows: best_frame had eleven."""
+    from reelframe.plans.frame_queries import QUERIES
+
+    sorts = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    # two branches by time, frames with splits, segments, ranks
+    assert 0 < sorts("best_frame") <= 5 and sorts("stable_segments") <= 4 and sorts("adaptive_thresholds") == 1 and sorts("transition_rows") == 1
