@@ -20,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Frames that a task sorts on average, at most; a larger table is dealt over more partitions than the session's.
+FRAMES_A_TASK = 500_000
 #: Columns that order the frames of a job as idx does; ``ordered_frames`` lie in this order.
 FRAME_ORDER = ("ts", "event_id")
 
@@ -31,8 +33,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frames`` with the columns of their order."""
     e = table(spark, sf_dir, "events")
+    parts = -(-e.count() // FRAMES_A_TASK)
     w = Window.partitionBy("job").orderBy(*FRAME_ORDER)
     e = e.select(F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.col("event_type") == "error").alias("rejected"))
+    e = e.repartition(parts, "job") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else e
     t = F.unix_micros("ts") / 1e6
     out = e.select("job", *FRAME_ORDER, (F.row_number().over(w) - 1).cast("long").alias("idx"), t.alias("t"), "value", "rejected", F.round(F.col("value") * 100).cast("long").alias("code"))
     return out.withColumn("sod", F.col("t") - F.floor(F.col("t") / 86400) * 86400)

@@ -294,3 +294,16 @@ def test_windows_in_a_row_share_their_sorts(spark, sf_dir):
     sorts = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Sort [")
     # two branches by time, frames with splits, segments, ranks
     assert 0 < sorts("best_frame") <= 5 and sorts("stable_segments") <= 4 and sorts("adaptive_thresholds") == 1 and sorts("transition_rows") == 1
+
+
+def test_frames_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    """A large table is dealt over more partitions than the session has, once and with the same rows."""
+    from reelframe.plans import views
+    from reelframe.plans.frame_queries import QUERIES
+
+    want = sorted(map(str, QUERIES["best_frame"](spark, sf_dir).collect()))
+    monkeypatch.setattr(views, "FRAMES_A_TASK", 100)
+    df = QUERIES["best_frame"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(job#") == 2 and f", {-(-views.table(spark, sf_dir, 'events').count() // 100)}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, df.collect())) == want
